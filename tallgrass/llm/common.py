@@ -67,3 +67,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     off = np.frombuffer(offsets, dtype=np.int64, count=len(column) + 1 + column.offset)[column.offset :] if offsets else np.zeros(1, dtype=np.int64)
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
     return raw[off[0] : off[-1]], off - off[0]
+
+
+def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs with `text` less the lines that gone (doc_id, place) names, places counted from 0, and `_gone`, the number of lines that went (0: the text is as it was)."""
+    of_doc = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("_places")).withColumnRenamed("doc_id", "_d")
+    out = docs.join(of_doc, docs["doc_id"].cast("long") == F.col("_d"), "left")
+    kept = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains("_places", i)), "\n")
+    text = F.when(F.col("_d").isNull(), docs["text"]).otherwise(kept).alias("text")
+    return out.select(*[text if c == "text" else docs[c] for c in docs.columns if c != "_gone"], F.coalesce(F.size("_places"), F.lit(0)).alias("_gone")).withColumn("_gone", F.greatest("_gone", F.lit(0)))
