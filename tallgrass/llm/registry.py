@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("op1_quality", "op2_jaccard", "op3_toxicity", "op4_lines", "op5_paragraphs", "op6_media", "op7_bpe", "op8_suffix", "op10_decontam")
+MODULES = ("op1_quality", "op2_jaccard", "op3_toxicity", "op4_lines", "op5_paragraphs", "op6_media", "op7_bpe", "op8_suffix", "op9_pii", "op10_decontam")
 
 
 def _modules():
