@@ -124,8 +124,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -
     """The rows of docs in which no window stands, all columns kept."""
     _, places = occurrences(docs, benchmark, size)
     bad = materialize(places.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct(), "op10-bad")
-    keyed = docs.withColumn("_k", F.xxhash64(F.col("text").cast("string")))
-    return keyed.join(bad, keyed["doc_id"].cast("long").eqNullSafe(bad["_d"]) & (keyed["_k"] == bad["_h"]), "left_anti").drop("_k")
+    same = docs["doc_id"].cast("long").eqNullSafe(bad["_d"]) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(bad["_h"])
+    return docs.join(bad, same, "left_anti")
 
 
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

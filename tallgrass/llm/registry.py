@@ -12,14 +12,18 @@ def _modules():
 
 
 def queries() -> dict:
-    found = {}
+    import corpus_pipeline
+
+    found = {"pipeline": corpus_pipeline.run}
     for module in _modules():
         found |= module.QUERIES
     return found
 
 
 def oracle_sql() -> dict:
-    found = {}
+    import corpus_pipeline
+
+    found = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
     for module in _modules():
         found |= module.ORACLES
     return found
