@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,10 +70,58 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+#: Bits of the filter by which rows that a join can't concern are left where they are.
+FILTER_BITS = 1 << 24
+
+
+def id_bits(ids: DataFrame) -> np.ndarray:
+    """A bit set with a bit for each id's hash: 2 MB, whatever the number of ids. With very many ids all bits are set, and the filter lets all rows through."""
+    slot = F.pmod(F.xxhash64(F.col(ids.columns[0]).cast("long")), F.lit(FILTER_BITS))
+    words = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(s, 64) AS int))) AS b"))
+    found = words.toPandas()
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    bits[found["w"].to_numpy(dtype=np.int64)] = found["b"].to_numpy(dtype=np.int64).view(np.uint64)
+    return bits
+
+
+def split_by(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose doc_id is not in ids, the others): the others hold all rows with one of these ids, and few more. Only ids pass through Python."""
+    bits = docs.sparkSession.sparkContext.broadcast(id_bits(ids).tobytes())
+
+    @F.pandas_udf("boolean")
+    def has(slots: pd.Series) -> pd.Series:
+        s = slots.to_numpy(dtype=np.int64).astype(np.uint64)
+        have = np.frombuffer(bits.value, dtype=np.uint64)
+        return pd.Series((have[s >> np.uint64(6)] >> (s & np.uint64(63))) & np.uint64(1) > 0)
+
+    flag = has(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS)))
+    return docs.where(~flag), docs.where(flag)
+
+
 def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs with `text` less the lines that gone (doc_id, place) names, places counted from 0, and `_gone`, the number of lines that went (0: the text is as it was)."""
-    of_doc = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("_places")).withColumnRenamed("doc_id", "_d")
-    out = docs.join(of_doc, docs["doc_id"].cast("long") == F.col("_d"), "left")
-    kept = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains("_places", i)), "\n")
-    text = F.when(F.col("_d").isNull(), docs["text"]).otherwise(kept).alias("text")
-    return out.select(*[text if c == "text" else docs[c] for c in docs.columns if c != "_gone"], F.coalesce(F.size("_places"), F.lit(0)).alias("_gone")).withColumn("_gone", F.greatest("_gone", F.lit(0)))
+    """docs with `text` less the lines that gone (doc_id, place) names, places counted from 0, and `_gone`, the number of lines that went (0: the text is as it was).
+
+    Texts that lose nothing are not moved. The join of the others sorts and merges at every size.
+    """
+    gone = gone.select(F.col("doc_id").alias("_d"), "place")
+    docs = docs.drop("_gone")
+    rest, touched = split_by(docs, gone.select("_d").distinct())
+    of_doc = gone.groupBy("_d").agg(F.array_sort(F.collect_set("place")).alias("_places"))
+    out = touched.join(of_doc.hint("merge"), touched["doc_id"].cast("long") == F.col("_d"), "left")
+    kept = F.array_join(F.filter(F.split(touched["text"], "\n"), lambda x, i: ~F.array_contains("_places", i)), "\n")
+    text = F.when(F.col("_d").isNull(), touched["text"]).otherwise(kept).alias("text")
+    count = F.greatest(F.coalesce(F.size("_places"), F.lit(0)), F.lit(0)).alias("_gone")
+    out = out.select(*[text if c == "text" else touched[c] for c in docs.columns], count)
+    return rest.withColumn("_gone", F.lit(0)).unionByName(out)
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """docs less the rows that gone names. gone has the columns that keys names, the first of them an id; keys says how a row of docs gives them. Rows that can't be meant are not moved."""
+    first = next(iter(keys))
+    rest, touched = split_by(docs, gone.select(first).distinct())
+    gone = gone.select(*[F.col(k).alias(f"_key_{k}") for k in keys])
+    same = None
+    for k, c in keys.items():
+        one = c.eqNullSafe(F.col(f"_key_{k}"))
+        same = one if same is None else same & one
+    return rest.unionByName(touched.join(gone.hint("merge"), same, "left_anti"))

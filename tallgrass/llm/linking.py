@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from tallgrass.llm.common import materialize, mix64
 from tallgrass.llm.shingles import sets_of, shared
 
-#: Similarity at least NUMERATOR / 100; sketch bytes; members of a block; comparisons of a hub in one task; bits of the filter that keeps texts from being moved.
-NUMERATOR, SKETCH, BLOCK, PER_SALT, FILTER_BITS = 80, 256, 2048, 256, 1 << 24
+#: Similarity at least NUMERATOR / 100; bytes of a sketch and of a small one; members of a block; comparisons of a hub in one task; bits of the filter that keeps texts from being moved.
+NUMERATOR, SKETCH, SMALL, BLOCK, PER_SALT, FILTER_BITS = 80, 256, 64, 2048, 256, 1 << 24
 
 
 def prefix_size(n: int) -> int:
@@ -35,6 +35,28 @@ def sketch(values: np.ndarray) -> bytes:
     return np.minimum(np.bincount((values >> np.uint64(7)) & np.uint64(SKETCH - 1), minlength=SKETCH), 255).astype(np.uint8).tobytes()
 
 
+def small_sketch(cells: bytes) -> bytes:
+    """The same with SMALL cells."""
+    return np.minimum(np.frombuffer(cells, dtype=np.uint8).reshape(-1, SMALL).sum(axis=0), 255).astype(np.uint8).tobytes()
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) that sizes and small sketches allow to be similar: cheap rows instead of texts are moved for the others."""
+    one = sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("small").alias("sa"))
+    two = sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("small").alias("sb"))
+    size = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * NUMERATOR
+    both = pairs.distinct().join(one, "a").join(two, "b").where(size).select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "sa", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, SMALL).astype(np.int16) for k in (3, 4))
+            apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+            near = apart * (100 + NUMERATOR) <= (100 - NUMERATOR) * np.asarray(batch.column(2))
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Exact."""
     if min(len(a), len(b)) * 100 < NUMERATOR * max(len(a), len(b)):
@@ -158,7 +180,7 @@ def crossing(buckets: DataFrame, labels: DataFrame, sketches: DataFrame) -> Data
     w = Window.partitionBy("token")
     open_ = known.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).withColumn("size", F.count("*").over(w)).where("lo <> hi")
     open_ = materialize(open_.select("token", "id", "label", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "open")
-    rows = open_.join(sketches.join(open_.select("id").distinct(), "id", "left_semi"), "id")
+    rows = open_.join(sketches.select("id", "n", "sketch").join(open_.select("id").distinct(), "id", "left_semi"), "id")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "label", "n", "sketch")
@@ -190,13 +212,13 @@ def crossing(buckets: DataFrame, labels: DataFrame, sketches: DataFrame) -> Data
 
 
 def link(buckets: DataFrame, texts: DataFrame, sketches: DataFrame, orders: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(labels, links): components (id, label) and the links (a, b) that make them, of texts (id, text) that share a bucket (token, id). sketches: (id, n, sketch)."""
+    """(labels, links): components (id, label) and the links (a, b) that make them, of texts (id, text) that share a bucket (token, id). sketches: (id, n, sketch, small)."""
     buckets = materialize(buckets, "buckets")
     score = buckets.groupBy("id").agg(F.count("*").alias("keys")).join(sketches.select("id", "n"), "id").select("id", (F.col("keys") / F.greatest("n", F.lit(1))).alias("score"))
     w = Window.partitionBy("token").orderBy(F.desc("score"), "id")
     near = buckets.join(score, "id").select("id", F.array(F.first("id").over(w), F.lag("id").over(w)).alias("others"))
     pairs = near.select(F.col("id").alias("b"), F.explode("others").alias("a")).where("a IS NOT NULL AND a <> b")
-    links = verified(pairs.select("a", "b"), texts, orders)
+    links = verified(plausible(pairs.select("a", "b"), sketches), texts, orders)
     labels = components(links)
     more = verified(crossing(buckets, labels, sketches), texts, orders)
     links = links.unionByName(more)

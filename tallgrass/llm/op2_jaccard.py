@@ -21,16 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import materialize, mix64, table
-from tallgrass.llm.linking import link, prefix_size, sketch
+from tallgrass.llm.common import materialize, mix64, table, without_rows
+from tallgrass.llm.linking import link, prefix_size, sketch, small_sketch
 from tallgrass.llm.shingles import set_id, sets_of
 
 ORDERS, FREQUENT = 2, 4096
-_SIGNATURE = "doc_id long, sid long, n long, sketch binary, token long, times long"
+_SIGNATURE = "doc_id long, sid long, n long, sketch binary, small binary, token long, times long"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """A row for each document (doc_id, sid, n, sketch), and rows (token, times) for tokens that stand in several different sets of an Arrow batch."""
+    """A row for each document (doc_id, sid, n, sketch, small), and rows (token, times) for tokens that stand in several different sets of an Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -43,19 +43,19 @@ def signatures(docs: DataFrame) -> DataFrame:
                     seen.add(sids[-1])
                     tokens.append(values)
             rows = len(sids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sids, pa.int64()), pa.array(ns, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], names=NAMES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sids, pa.int64()), pa.array(ns, pa.int64()), pa.array(sketches, pa.binary()), pa.array([small_sketch(x) for x in sketches], pa.binary()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], names=NAMES)
             every = np.sort(np.concatenate(tokens)) if tokens else np.zeros(0, dtype=np.uint64)
             starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, dtype=np.int64)
             times = np.diff(np.append(starts, len(every)))
             some = times > 1
             rows = int(some.sum())
-            none = [pa.nulls(rows, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+            none = [pa.nulls(rows, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*none, pa.array(every[starts[some]].view(np.int64)), pa.array(times[some])], names=NAMES)
 
     return docs.mapInArrow(run, _SIGNATURE)
 
 
-NAMES = ["doc_id", "sid", "n", "sketch", "token", "times"]
+NAMES = ["doc_id", "sid", "n", "sketch", "small", "token", "times"]
 
 
 def frequent_tokens(signed: DataFrame, documents: int) -> np.ndarray:
@@ -101,14 +101,14 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, labels, links): (doc_id, n, rep) of every document, where rep is the smallest id with the same set; components (id, label) of representatives; their links (a, b)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = materialize(signatures(docs), "op2-signed")
-    rows = signed.where("token IS NULL").select("doc_id", "sid", "n", "sketch")
+    rows = signed.where("token IS NULL").select("doc_id", "sid", "n", "sketch", "small")
     last = frequent_tokens(signed, rows.count())
-    reps = materialize(rows.where("doc_id IS NOT NULL AND n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "op2-classes")
+    reps = materialize(rows.where("doc_id IS NOT NULL AND n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("small").alias("small")), "op2-classes")
     w = Window.partitionBy("token")
     met = postings(docs, last).withColumn("lo", F.min("sid").over(w)).withColumn("hi", F.max("sid").over(w)).where("lo <> hi").select("token", "sid").distinct()
     buckets = met.join(reps.select("sid", "id"), "sid").select("token", "id").distinct()
     texts = docs.select(F.col("doc_id").alias("id"), "text")
-    sketches = reps.groupBy("id").agg(F.max(F.struct("n", "sketch")).alias("x")).select("id", "x.n", "x.sketch")
+    sketches = reps.groupBy("id").agg(F.max(F.struct("n", "sketch", "small")).alias("x")).select("id", "x.n", "x.sketch", "x.small")
     labels, links = link(buckets, texts, sketches, ORDERS)
     named = rows.join(reps.select("sid", "n", F.col("id").alias("rep")), ["sid", "n"], "left")
     return named.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), labels, links
@@ -124,8 +124,8 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the smallest id, with all columns; documents without words or id stay."""
-    gone = similarity_classes(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(materialize(gone, "op2-gone"), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    gone = similarity_classes(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return without_rows(docs, materialize(gone, "op2-gone"), {"doc_id": F.col("doc_id").cast("long")})
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from tallgrass.llm.common import materialize, table, without_lines
 
 LONG_WORDS = 30
+BLANK = " \t\n\x0b\x0c\r"
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("key", pa.int64())]))
 
 
@@ -36,7 +37,7 @@ def _hash(data: bytes) -> int:
 
 def spans(text: str, long_words: int = LONG_WORDS) -> list[tuple[int, int, bytes, int, int]]:
     """(first line, last line, content, fingerprint, fingerprint's line) of every span of a text."""
-    lines = [(k, x) for k, line in enumerate(text.split("\n")) if (x := line.strip())]
+    lines = [(k, x) for k, line in enumerate(text.split("\n")) if (x := line.strip(BLANK))]
     hashed = [_hash(x.encode()) for _, x in lines]
     out = []
     for i, (k, line) in enumerate(lines):
@@ -88,18 +89,12 @@ def clean_texts(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
 
 
 def line_report(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
-    """doc_id, n_lines (not blank), n_removed, n_runs (of removed lines that follow each other), kept_bytes, kept_sha256."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = materialize(removals(docs, long_words), "op4-removals")
-    # blank lines between two removed ones don't end a run
-    solid = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.when(F.trim(F.regexp_replace(x, r"\s+", " ")) != "", i)), lambda i: i.isNotNull())
-    of_doc = gone.groupBy("doc_id").agg(F.collect_set("place").alias("p")).withColumnRenamed("doc_id", "d")
-    runs = docs.select("doc_id", "text", solid.alias("solid")).join(of_doc, F.col("doc_id") == F.col("d"), "left")
-    flags = F.transform("solid", lambda i: F.array_contains(F.coalesce("p", F.array().cast("array<int>")), i))
-    runs = runs.withColumn("flags", flags)
-    starts = F.size(F.filter(F.transform("flags", lambda x, i: x & ((i == 0) | ~F.get("flags", F.greatest(i - 1, F.lit(0))))), lambda x: x))
-    kept = F.when(F.col("p").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("p", i)), "\n")).cast("binary")
-    return runs.select("doc_id", F.size("solid").cast("long").alias("n_lines"), F.greatest(F.coalesce(F.size("p"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"), starts.cast("long").alias("n_runs"), F.octet_length(kept).cast("long").alias("kept_bytes"), F.sha2(kept, 256).alias("kept_sha256"))
+    """doc_id, n_lines (not blank), n_removed, kept_bytes, kept_sha256."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    solid = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S")))
+    out = without_lines(docs.withColumn("n_lines", solid.cast("long")), materialize(removals(docs, long_words), "op4-removals"))
+    kept = F.col("text").cast("binary")
+    return out.select("doc_id", "n_lines", F.col("_gone").cast("long").alias("n_removed"), F.octet_length(kept).cast("long").alias("kept_bytes"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

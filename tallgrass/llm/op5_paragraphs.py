@@ -1,7 +1,7 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs are the lines of a text that hold MIN_WORDS words or more. Each gets a MinHash of BANDS x ROWS values over its five-word shingles. 20 bands of 4 rows find
-a pair of similarity 0.8 with probability 1 - (1 - 0.8^4)^20 = 0.99997. Paragraphs that collide in a band are joined, compared in full (Jaccard 0.8 or more) and
+Paragraphs are the lines of a text that hold MIN_WORDS words or more. Each gets a MinHash of BANDS x ROWS values over its five-word shingles. 14 bands of 4 rows find
+a pair of similarity 0.8 with probability 1 - (1 - 0.8^4)^14 = 0.9994. Paragraphs that collide in a band are joined, compared in full (Jaccard 0.8 or more) and
 clustered by components (see linking). Of each cluster the first paragraph (by doc_id, then place) stays; all others are removed from their documents.
 
 Scale: equal paragraph sets become one class before banding, so a group of exact copies is one row; bands are shuffled as (band key, class), once for each task.
@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import materialize, mix64, table
-from tallgrass.llm.linking import link, sketch
+from tallgrass.llm.common import materialize, mix64, table, without_lines
+from tallgrass.llm.linking import link, only_wanted, sketch, small_sketch
 from tallgrass.llm.shingles import set_id, sets_of
 
-BANDS, ROWS, MIN_WORDS = 20, 4, 20
+BANDS, ROWS, MIN_WORDS = 14, 4, 20
 _SEEDS = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -40,7 +40,7 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, place, sid, n, sketch) of every paragraph; sid names its set."""
+    """(doc_id, place, sid, n, sketch, small, bands) of every paragraph; sid names its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,12 +54,13 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             for s in range(0, len(keep), 20_000):
                 some = keep[s : s + 20_000]
                 sets = list(sets_of(pa.array([lines[i] for i in some], type=pa.string())))
+                cells = [sketch(v) for v in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i] for i in some], pa.int64()), pa.array([places[i] for i in some], pa.int32()), pa.array([set_id(v) for v in sets], pa.int64()), pa.array([len(v) for v in sets], pa.int64()), pa.array([sketch(v) for v in sets], pa.binary()), pa.array([np.asarray(band_keys(v)).tobytes() for v in sets], pa.binary())],
-                    names=["doc_id", "place", "sid", "n", "sketch", "bands"],
+                    [pa.array([ids[i] for i in some], pa.int64()), pa.array([places[i] for i in some], pa.int32()), pa.array([set_id(v) for v in sets], pa.int64()), pa.array([len(v) for v in sets], pa.int64()), pa.array(cells, pa.binary()), pa.array([small_sketch(c) for c in cells], pa.binary()), pa.array([np.asarray(band_keys(v)).tobytes() for v in sets], pa.binary())],
+                    names=["doc_id", "place", "sid", "n", "sketch", "small", "bands"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, place int, sid long, n long, sketch binary, bands binary")
+    return docs.mapInArrow(run, "doc_id long, place int, sid long, n long, sketch binary, small binary, bands binary")
 
 
 def bands_of(classes: DataFrame) -> DataFrame:
@@ -78,16 +79,17 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, place): paragraphs that repeat an earlier one, exactly or nearly."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
     every = materialize(paragraphs(docs, min_words), "op5-paragraphs")
-    classes = materialize(every.groupBy("sid").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")).withColumnRenamed("sid", "id"), "op5-classes")
+    classes = materialize(every.groupBy("sid").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("small").alias("small"), F.first("bands").alias("bands")).withColumnRenamed("sid", "id"), "op5-classes")
     w = Window.partitionBy("token")
     buckets = bands_of(classes).withColumn("lo", F.min("id").over(w)).withColumn("hi", F.max("id").over(w)).where("lo <> hi").select("token", "id").distinct()
     buckets = materialize(buckets, "op5-buckets")
     # texts of classes: only those in a bucket are looked up
     need = buckets.select("id").distinct().join(classes.select("id", "first"), "id").select(F.col("first.doc_id").alias("d"), F.col("first.place").alias("place"), "id")
     of_doc = need.groupBy("d").agg(F.collect_list(F.struct("place", "id")).alias("wanted"))
-    lines = docs.join(of_doc, docs["doc_id"] == of_doc["d"]).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("x"))
+    source = only_wanted(docs.select(F.col("doc_id").alias("id"), "text"), of_doc.select(F.col("d").alias("id")))
+    lines = source.join(of_doc, source["id"] == of_doc["d"]).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("x"))
     texts = materialize(lines.select(F.col("x.id").alias("id"), F.get("lines", F.col("x.place")).alias("text")).where("text IS NOT NULL"), "op5-texts")
-    labels, _ = link(buckets, texts, classes.select("id", "n", "sketch"))
+    labels, _ = link(buckets, texts, classes.select("id", "n", "sketch", "small"))
     named = classes.select("id", "first").join(labels, "id", "left").select("id", "first", F.coalesce("label", "id").alias("label"))
     heads = named.groupBy("label").agg(F.min("first").alias("head"))
     owner = named.join(heads, "label").select(F.col("id").alias("sid"), "head")
@@ -96,20 +98,22 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def clean_texts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Rows of docs with `text` less its repeated paragraphs, and n_paragraphs, n_removed. A text that loses none stays as it is."""
-    gone = materialize(removals(docs, min_words).distinct(), "op5-removals").groupBy("doc_id").agg(F.collect_set("place").alias("_gone")).withColumnRenamed("doc_id", "_d")
-    out = docs.join(gone, docs["doc_id"].cast("long") == F.col("_d"), "left")
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    counted = F.size(F.filter(F.coalesce(lines, F.array().cast("array<string>")), lambda x: F.size(F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda y: y != "")) >= min_words))
-    removed = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone"))
-    return out.select(*[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns if c not in ("n_paragraphs", "n_removed")], counted.cast("long").alias("n_paragraphs"), removed.cast("long").alias("n_removed"))
+    gone = materialize(removals(docs, min_words).distinct(), "op5-removals")
+    words = lambda x: F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda y: y != "")
+    counted = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.size(words(x)) >= min_words)).cast("long")
+    docs = docs.drop("n_paragraphs", "n_removed").withColumn("n_paragraphs", counted)
+    return without_lines(docs, gone).withColumn("n_removed", F.col("_gone").cast("long")).drop("_gone")
 
 
-def op5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def paragraph_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_paragraphs, n_removed, kept_bytes, kept_sha256 of what is left of each text."""
-    kept = clean_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    return kept.select("doc_id", "n_paragraphs", "n_removed", F.octet_length(text).cast("long").alias("kept_bytes"), F.sha2(text, 256).alias("kept_sha256"))
+    out = clean_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), min_words)
+    kept = F.col("text").cast("binary")
+    return out.select("doc_id", "n_paragraphs", "n_removed", F.octet_length(kept).cast("long").alias("kept_bytes"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
+def op5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op5_paragraphs": op5_paragraphs}

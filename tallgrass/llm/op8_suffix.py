@@ -2,13 +2,13 @@
 
 1. Documents are dealt into groups of about GROUP_BYTES by a hash of their id; all later steps meet their texts there (one shuffle of the texts, reused).
 2. Every string of 50 bytes stands under a fingerprint: the smallest hash of its 16-byte grams (the leftmost of equals). Equal strings have equal fingerprints. A group
-   sends its distinct fingerprints, as sorted blocks of 8-byte numbers, to where equal ones meet; what stands in several documents comes back.
-3. For such fingerprints a group sends the bytes that their strings cover (50 to 84), each distinct piece once with the smallest doc_id that has it. Pieces are sorted by
-   fingerprint and read in chunks; in each chunk the common-prefix interval tree of an enhanced suffix array (see repeats) gives the maximal repeats with all their
+   sends its distinct fingerprints, as sorted and compressed blocks, to where equal ones meet; what stands in several documents comes back.
+3. For such fingerprints a group sends the bytes that their strings cover (50 to 84), each distinct piece once with the smallest doc_id that has it. Pieces are dealt by
+   ranges of fingerprints and searched in chunks; in each chunk the common-prefix interval tree of an enhanced suffix array (see repeats) gives the maximal repeats with all their
    occurrences, and so the smallest doc_id of each.
 4. Repeats that stand in a smaller document come back to their group; with the pieces that a group holds several times itself they cover the bytes to remove.
 
-Scale: nothing but texts, fingerprints (half a byte for each byte of text) and pieces of repeated places is shuffled; equal pieces meet as one row for each group, so that a
+Scale: nothing but texts, fingerprints (a quarter of a byte for each byte of text) and pieces of repeated places is shuffled; equal pieces meet as one row for each group, so that a
 passage that a third of all documents share doesn't land in one task. Groups and buckets have a bounded size, their number grows with the input.
 
 Null or empty text: nothing to remove. Null doc_id: nothing is removed there, and it is no one's smaller document. Repeated rows of one doc_id don't remove from each
@@ -18,19 +18,18 @@ other. Strings are judged on the input, overlaps count, and matches never cross
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallgrass.llm.common import table, utf8
 from tallgrass.llm.repeats import LENGTH, Selected, maximal_repeats
 
-GROUP_BYTES, BUCKET_BYTES, CHUNK_BYTES = 4 << 20, 96 << 20, 1 << 20
-_FINGERPRINTS = "bucket int, g int, single binary, several binary"
-_PIECES = "fp long, g int, key long, doc_id long, at int, piece binary"
+GROUP_BYTES, BUCKET_BYTES, CHUNK_BYTES, BITS = 6 << 20, 16 << 20, 1 << 20, 48
+_FINGERPRINTS = "bucket int, g int, n_single int, single binary, n_several int, several binary"
+_PIECES = "bucket int, g int, rows int, packed binary"
 _FOUND = "g int, key long, doc_id long, start int, stop int"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 NO_ID = np.iinfo(np.int64).max
@@ -48,11 +47,32 @@ def _select(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, Selecte
     raw, off, ids, known = _documents(rows)
     chosen = Selected(raw, off)
     keep = known[chosen.doc] if len(chosen.doc) else np.zeros(0, dtype=bool)
+    # shorter hashes pack better; two grams that share one only make a candidate more
+    chosen.hash = chosen.hash >> np.uint64(64 - BITS)
     for name in ("place", "hash", "doc", "first", "last", "key"):
         setattr(chosen, name, getattr(chosen, name)[keep])
     return raw, off, ids, chosen, known
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Sorted numbers as differences, byte planes apart, compressed."""
+    steps = np.diff(values, prepend=np.uint64(0)).astype(np.uint64)
+    return pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+
+
+def unpack(data: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, dtype=np.uint64)
+    planes = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd", asbytes=True), dtype=np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
+def _cuts(sorted_hashes: np.ndarray, buckets: int) -> list[int]:
+    """Buckets are ranges of hashes, so each is a slice."""
+    edges = [(b << BITS) // buckets for b in range(1, buckets)]
+    return [0, *np.searchsorted(sorted_hashes, np.array(edges, dtype=np.uint64)).tolist(), len(sorted_hashes)]
+
+
 def _runs(values: np.ndarray) -> np.ndarray:
     """First places of runs of equal values."""
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, dtype=np.int64)
@@ -67,14 +87,17 @@ def _fingerprints(buckets: int):
         low = np.minimum.reduceat(d, starts) if len(starts) else d
         high = np.maximum.reduceat(d, starts) if len(starts) else d
         h, several = h[starts], low != high
-        # buckets are ranges of hashes, so each is a slice
-        edges = [min((b << 64) // buckets, (1 << 64) - 1) for b in range(1, buckets)]
-        cuts = [0, *np.searchsorted(h, np.array(edges, dtype=np.uint64)).tolist(), len(h)]
+        cuts = _cuts(h, buckets)
         one, more = [], []
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            one.append(h[s:e][~several[s:e]].tobytes())
-            more.append(h[s:e][several[s:e]].tobytes())
-        return pa.table([pa.array(range(buckets), pa.int32()), pa.array([key[0].as_py()] * buckets, pa.int32()), pa.array(one, pa.binary()), pa.array(more, pa.binary())], names=["bucket", "g", "single", "several"])
+            one.append(h[s:e][~several[s:e]])
+            more.append(h[s:e][several[s:e]])
+        # no rows for empty slices: with many buckets there are no more rows than fingerprints
+        full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+        columns = [pa.array(full, pa.int32()), pa.array([key[0].as_py()] * len(full), pa.int32())]
+        for part in (one, more):
+            columns += [pa.array([len(part[b]) for b in full], pa.int32()), pa.array([pack(part[b]) for b in full], pa.binary())]
+        return pa.table(columns, names=["bucket", "g", "n_single", "single", "n_several", "several"])
 
     return run
 
@@ -82,8 +105,7 @@ def _fingerprints(buckets: int):
 def _common(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     """For each group, those of its fingerprints that stand in several documents, here or elsewhere."""
     groups = rows.column("g").to_pylist()
-    single = [np.frombuffer(b, dtype=np.uint64) for b in rows.column("single").to_pylist()]
-    several = [np.frombuffer(b, dtype=np.uint64) for b in rows.column("several").to_pylist()]
+    single, several = ([unpack(b, n) for b, n in zip(rows.column(k).to_pylist(), rows.column(f"n_{k}").to_pylist(), strict=True)] for k in ("single", "several"))
     every = np.sort(np.concatenate([*single, *several, *several]))
     starts = _runs(every)
     common = every[starts][np.diff(np.append(starts, len(every))) > 1]
@@ -94,27 +116,65 @@ def _common(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
             a = a[common[at] == a]
         else:
             a = a[:0]
-        out.append(np.concatenate([a, b]).tobytes())
-    return pa.table([pa.array(groups, pa.int32()), pa.array(out, pa.binary())], names=["g", "common"])
-
-
-def _pieces(key: tuple[pa.Scalar, ...], rows: pa.Table, common: pa.Table) -> pa.Table:
-    """The bytes around each common fingerprint, every distinct piece once with the smallest doc_id that has it."""
-    names = ["fp", "g", "key", "doc_id", "at", "piece"]
-    raw, _, ids, chosen, _ = _select(rows)
-    wanted = np.sort(np.concatenate([np.zeros(0, dtype=np.uint64), *(np.frombuffer(b, dtype=np.uint64) for b in common.column("common").to_pylist())]))
-    keep = np.zeros(len(chosen.hash), dtype=bool)
-    if len(wanted):
-        keep = wanted[np.minimum(np.searchsorted(wanted, chosen.hash), len(wanted) - 1)] == chosen.hash
-    k, d, first, last, h, place = (x[keep] for x in (chosen.key, ids[chosen.doc], chosen.first, chosen.last, chosen.hash, chosen.place))
-    order = np.lexsort([d, k])
-    order = order[_runs(k[order])]
-    data = raw.tobytes()
-    pieces = [data[a : b + LENGTH] for a, b in zip(first[order].tolist(), last[order].tolist(), strict=True)]
-    return pa.table([pa.array(h[order].view(np.int64)), pa.array(np.full(len(order), key[0].as_py(), dtype=np.int32)), pa.array(k[order].view(np.int64)), pa.array(d[order]), pa.array((place - first)[order].astype(np.int32)), pa.array(pieces, pa.binary())], names=names)
-
-
-def _repeats(chunk: pa.Table) -> pa.RecordBatch:
+        out.append(np.sort(np.concatenate([a, b])))
+    return pa.table([pa.array(groups, pa.int32()), pa.array([len(x) for x in out], pa.int32()), pa.array([pack(x) for x in out], pa.binary())], names=["g", "n", "common"])
+
+
+def _pieces(buckets: int):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, common: pa.Table) -> pa.Table:
+        """The bytes around each common fingerprint, every distinct piece once with the smallest doc_id that has it, compressed for each bucket."""
+        raw, _, ids, chosen, _ = _select(rows)
+        wanted = np.sort(np.concatenate([np.zeros(0, dtype=np.uint64), *(unpack(b, n) for b, n in zip(common.column("common").to_pylist(), common.column("n").to_pylist(), strict=True))]))
+        keep = np.zeros(len(chosen.hash), dtype=bool)
+        if len(wanted):
+            keep = wanted[np.minimum(np.searchsorted(wanted, chosen.hash), len(wanted) - 1)] == chosen.hash
+        k, d, first, last, h = (x[keep] for x in (chosen.key, ids[chosen.doc], chosen.first, chosen.last, chosen.hash))
+        order = np.lexsort([d, k, h])
+        order = order[_runs(k[order])] if len(order) else order
+        k, d, first, last, h = (x[order] for x in (k, d, first, last, h))
+        data, cuts = raw.tobytes(), _cuts(h, buckets)
+        packed = []
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            head = b"".join(np.ascontiguousarray(x[s:e].view(np.uint8).reshape(-1, 8).T).tobytes() for x in (h, k, d))
+            sizes = (last[s:e] - first[s:e] + LENGTH).astype(np.uint8).tobytes()
+            text = b"".join(data[a : b + LENGTH] for a, b in zip(first[s:e].tolist(), last[s:e].tolist(), strict=True))
+            packed.append(pa.compress(head + sizes + text, codec="zstd", asbytes=True) if e > s else b"")
+        full = [b for b in range(buckets) if packed[b]]
+        n = np.diff(cuts)
+        # the number of rows and the size before compression, in one
+        return pa.table([pa.array(full, pa.int32()), pa.array([key[0].as_py()] * len(full), pa.int32()), pa.array([int(n[b]) for b in full], pa.int32()), pa.array([_size(last, first, cuts, b).to_bytes(8, "little") + packed[b] for b in full], pa.binary())], names=["bucket", "g", "rows", "packed"])
+
+    return run
+
+
+def _size(last: np.ndarray, first: np.ndarray, cuts: list[int], b: int) -> int:
+    s, e = cuts[b], cuts[b + 1]
+    return 25 * (e - s) + int((last[s:e] - first[s:e] + LENGTH).sum())
+
+
+def _search(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """All pieces of a bucket in order of fingerprints, searched in chunks that end between two of them."""
+    parts = []
+    for g, n, packed in zip(*(rows.column(c).to_pylist() for c in ("g", "rows", "packed")), strict=True):
+        data = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+        h, k, d = (np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8, count=8 * n, offset=8 * n * i).reshape(8, n).T).view(np.int64).reshape(-1) for i in range(3))
+        sizes = np.frombuffer(data, dtype=np.uint8, count=n, offset=24 * n).astype(np.int32)
+        text = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.py_buffer(data[25 * n :])])
+        parts.append(pa.table([pa.array(h), pa.array(np.full(n, g, dtype=np.int32)), pa.array(k), pa.array(d), text], names=["fp", "g", "key", "doc_id", "piece"]))
+    every = pa.concat_tables(parts)
+    order = np.argsort(every.column("fp").to_numpy(), kind="stable")
+    fp = every.column("fp").to_numpy()[order]
+    size = np.cumsum(pa.compute.binary_length(every.column("piece")).to_numpy()[order])
+    starts = _runs(fp)
+    out, begin = [], 0
+    for cut in [*starts[1:].tolist(), len(fp)]:
+        if size[cut - 1] - (size[begin - 1] if begin else 0) >= CHUNK_BYTES or cut == len(fp):
+            out.append(_repeats(every.take(pa.array(order[begin:cut]))))
+            begin = cut
+    return pa.concat_tables(out)
+
+
+def _repeats(chunk: pa.Table) -> pa.Table:
     """Places in pieces that a smaller document holds as well."""
     data, off = (lambda c: (np.frombuffer(c.buffers()[2] or b"", dtype=np.uint8), np.frombuffer(c.buffers()[1], dtype=np.int64, count=len(c) + 1 + c.offset)[c.offset :]))(chunk.column("piece").combine_chunks().cast(pa.large_binary()))
     doc = chunk.column("doc_id").to_numpy()
@@ -151,29 +211,6 @@ def _repeats(chunk: pa.Table) -> pa.RecordBatch:
     return pa.table([*taken.columns, pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["g", "key", "doc_id", "start", "stop"])
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of rows in order of fingerprints, cut between two of them."""
-    held: list[pa.Table] = []
-    size = 0
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        rows = pa.Table.from_batches([batch])
-        held.append(rows)
-        size += batch.nbytes
-        if size < CHUNK_BYTES:
-            continue
-        every = pa.concat_tables(held)
-        fp = every.column("fp").to_numpy()
-        cut = int(np.flatnonzero(fp != fp[-1])[-1]) + 1 if fp[0] != fp[-1] else 0
-        if cut:
-            yield from _repeats(every.slice(0, cut)).to_batches()
-        held = [every.slice(cut)]
-        size = held[0].nbytes
-    if held:
-        yield from _repeats(pa.concat_tables(held)).to_batches()
-
-
 def _covered(rows: pa.Table, found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, offsets, and which bytes go."""
     raw, off, ids, chosen, known = _select(rows)
@@ -229,9 +266,9 @@ def _dealt(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups, buckets = max(1, -(-size // GROUP_BYTES)), max(1, -(-size // BUCKET_BYTES))
     texts = docs.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(groups)).cast("int").alias("g"), "doc_id", "text").repartition("g")
-    common = texts.groupBy("g").applyInArrow(_fingerprints(buckets), _FINGERPRINTS).groupBy("bucket").applyInArrow(_common, "g int, common binary")
-    pieces = texts.groupBy("g").cogroup(common.groupBy("g")).applyInArrow(_pieces, _PIECES)
-    found = pieces.repartition("fp").sortWithinPartitions("fp").mapInArrow(_search, _FOUND)
+    common = texts.groupBy("g").applyInArrow(_fingerprints(buckets), _FINGERPRINTS).groupBy("bucket").applyInArrow(_common, "g int, n int, common binary")
+    pieces = texts.groupBy("g").cogroup(common.groupBy("g")).applyInArrow(_pieces(buckets), _PIECES)
+    found = pieces.groupBy("bucket").applyInArrow(_search, _FOUND)
     return texts, found
 
 
