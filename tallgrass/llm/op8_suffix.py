@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import table, utf8
+from tallgrass.llm.common import mix64, table, utf8
 from tallgrass.llm.repeats import LENGTH, Selected, maximal_repeats
 
 GROUP_BYTES, BUCKET_BYTES, CHUNK_BYTES, BITS = 6 << 20, 16 << 20, 1 << 20, 48
@@ -47,8 +47,8 @@ def _select(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, Selecte
     raw, off, ids, known = _documents(rows)
     chosen = Selected(raw, off)
     keep = known[chosen.doc] if len(chosen.doc) else np.zeros(0, dtype=bool)
-    # shorter hashes pack better; two grams that share one only make a candidate more
-    chosen.hash = chosen.hash >> np.uint64(64 - BITS)
+    # selected hashes are small ones, so they are mixed again to spread over the buckets; shorter ones pack better, and two grams that share one only make a candidate more
+    chosen.hash = mix64(chosen.hash ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)
     for name in ("place", "hash", "doc", "first", "last", "key"):
         setattr(chosen, name, getattr(chosen, name)[keep])
     return raw, off, ids, chosen, known
