@@ -1,7 +1,7 @@
 """From buckets of possibly similar texts to components of texts whose shingle sets are similar, without pairs of whole groups.
 
-A bucket is a key that similar texts share: a prefix token or a MinHash band. Every member of a bucket is first compared with two others: the bucket's best hub
-(the member with the largest share of its keys in common with others) and its neighbour in that order. Components of the links found so far leave few buckets whose
+A bucket is a key that similar texts share: a prefix token or a MinHash band. Every member of a bucket is first compared with the bucket's best hub
+(the member with the largest share of its keys in common with others), or else with its neighbour in that order. Components of the links found so far leave few buckets whose
 members are not yet connected. In those, members of different components are compared by small count sketches: the difference of two sketches never exceeds the
 difference of the sets, so a pair whose sketches lie too far apart cannot be similar; every other pair is compared in full. So no link between components is
 missed among texts that share a bucket, and a group of near copies costs a few comparisons for each member.
@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import materialize, mix64
+from tallgrass.llm.common import FILTER_BITS, id_bits, materialize, mix64
 from tallgrass.llm.shingles import sets_of, shared
 
-#: Similarity at least NUMERATOR / 100; bytes of a sketch and of a small one; members of a block; comparisons of a hub in one task; bits of the filter that keeps texts from being moved.
-NUMERATOR, SKETCH, SMALL, BLOCK, PER_SALT, FILTER_BITS = 80, 256, 64, 2048, 256, 1 << 24
+#: Similarity at least NUMERATOR / 100; bytes of a sketch and of a small one; members of a block; comparisons of a hub in one task.
+NUMERATOR, SKETCH, SMALL, BLOCK, PER_SALT = 80, 256, 64, 2048, 256
 
 
 def prefix_size(n: int) -> int:
@@ -45,7 +45,8 @@ def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     one = sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("small").alias("sa"))
     two = sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("small").alias("sb"))
     size = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * NUMERATOR
-    both = pairs.distinct().join(one, "a").join(two, "b").where(size).select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "sa", "sb")
+    # sorted and merged at every size: what is moved is two small rows for each pair
+    both = pairs.distinct().join(one.hint("merge"), "a").join(two.hint("merge"), "b").where(size).select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,19 +92,9 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def wanted(ids: DataFrame) -> np.ndarray:
-    """A bit set of FILTER_BITS with a bit for each id's hash: bounded, whatever the number of ids."""
-    slot = F.pmod(F.xxhash64(F.col("id").cast("long")), F.lit(FILTER_BITS))
-    words = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(s, 64) AS int))) AS b"))
-    found = words.toPandas()
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    bits[found["w"].to_numpy(dtype=np.int64)] = found["b"].to_numpy(dtype=np.int64).view(np.uint64)
-    return bits
-
-
 def only_wanted(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of texts (id, text) that can have one of these ids: all that have, and few others."""
-    bits = texts.sparkSession.sparkContext.broadcast(wanted(ids).tobytes())
+    bits = texts.sparkSession.sparkContext.broadcast(id_bits(ids).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = np.frombuffer(bits.value, dtype=np.uint64)
@@ -135,7 +126,7 @@ def verified(pairs: DataFrame, texts: DataFrame, orders: int = 0) -> DataFrame:
     hubs = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("id"))
     rows = materialize(dealt.unionByName(hubs), "rows")
     source = only_wanted(texts, rows.select("id").distinct())
-    moved = rows.join(source, "id").select("a", "salt", "role", "id", "text")
+    moved = rows.join(source.hint("merge"), "id").select("a", "salt", "role", "id", "text")
     moved = moved.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +171,7 @@ def crossing(buckets: DataFrame, labels: DataFrame, sketches: DataFrame) -> Data
     w = Window.partitionBy("token")
     open_ = known.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).withColumn("size", F.count("*").over(w)).where("lo <> hi")
     open_ = materialize(open_.select("token", "id", "label", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "open")
-    rows = open_.join(sketches.select("id", "n", "sketch").join(open_.select("id").distinct(), "id", "left_semi"), "id")
+    rows = open_.join(sketches.select("id", "n", "sketch").hint("merge"), "id")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "label", "n", "sketch")
@@ -216,9 +207,11 @@ def link(buckets: DataFrame, texts: DataFrame, sketches: DataFrame, orders: int
     buckets = materialize(buckets, "buckets")
     score = buckets.groupBy("id").agg(F.count("*").alias("keys")).join(sketches.select("id", "n"), "id").select("id", (F.col("keys") / F.greatest("n", F.lit(1))).alias("score"))
     w = Window.partitionBy("token").orderBy(F.desc("score"), "id")
-    near = buckets.join(score, "id").select("id", F.array(F.first("id").over(w), F.lag("id").over(w)).alias("others"))
-    pairs = near.select(F.col("id").alias("b"), F.explode("others").alias("a")).where("a IS NOT NULL AND a <> b")
-    links = verified(plausible(pairs.select("a", "b"), sketches), texts, orders)
+    near = materialize(buckets.join(score, "id").select(F.col("id").alias("b"), F.first("id").over(w).alias("hub"), F.lag("id").over(w).alias("neighbour")), "near")
+    hubs = materialize(plausible(near.where("hub <> b").select(F.col("hub").alias("a"), "b"), sketches), "hubs")
+    # a neighbour is tried where no hub can be similar
+    left = near.where("neighbour IS NOT NULL").select(F.col("neighbour").alias("a"), "b").join(hubs.select("b").distinct(), "b", "left_anti")
+    links = verified(hubs.unionByName(plausible(left.select("a", "b"), sketches)), texts, orders)
     labels = components(links)
     more = verified(crossing(buckets, labels, sketches), texts, orders)
     links = links.unionByName(more)
