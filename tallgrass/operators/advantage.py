@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from tallgrass.functions.masked import kept, mask_sum, total
 
 _REGISTRY: dict[str, Callable] = {}
-W = Window.partitionBy("uid")
+
+
+def _group():
+    """The window of a prompt's rollouts."""
+    return Window.partitionBy("uid")
 
 
 def register(name: str) -> Callable[[Callable], Callable]:
@@ -39,7 +43,7 @@ def names() -> list[str]:
 
 
 def _stats(score: Column) -> tuple[Column, Column, Column]:
-    return F.count(F.lit(1)).over(W), F.avg(score).over(W), F.stddev_samp(score).over(W)
+    return F.count(F.lit(1)).over(_group()), F.avg(score).over(_group()), F.stddev_samp(score).over(_group())
 
 
 @register("grpo")
@@ -54,7 +58,7 @@ def grpo(df: DataFrame, epsilon: float = 1e-6, by_std: bool = True) -> DataFrame
 def grpo_vectorized(df: DataFrame, epsilon: float = 1e-6, by_std: bool = True) -> DataFrame:
     """The same with a floor of epsilon under the variance."""
     n, mean, _ = _stats(F.col("score"))
-    var = F.var_samp("score").over(W)
+    var = F.var_samp("score").over(_group())
     adv = F.when(n == 1, F.col("score")).otherwise(F.col("score") - mean)
     sd = F.when(n == 1, F.lit(1.0)).otherwise(F.sqrt(F.greatest(var, F.lit(epsilon))))
     return df.withColumn("advantage", adv / (sd + epsilon) if by_std else adv)
@@ -88,8 +92,8 @@ def rloo_vectorized(df: DataFrame) -> DataFrame:
 @register("opo")
 def opo(df: DataFrame) -> DataFrame:
     """Score less the mean weighted by `length`; the baseline of a group of one is 0."""
-    n = F.count(F.lit(1)).over(W)
-    base = F.sum(F.col("length") * F.col("score")).over(W) / F.sum("length").over(W)
+    n = F.count(F.lit(1)).over(_group())
+    base = F.sum(F.col("length") * F.col("score")).over(_group()) / F.sum("length").over(_group())
     return df.withColumn("advantage", F.when(n == 1, F.col("score")).otherwise(F.col("score") - base))
 
 

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from tallgrass.operators.losses import clamp, used
 
 OPTIONS = ("token_k1", "token_k2", "token_k3", "seq_sum_k1", "seq_sum_k2", "seq_sum_k3", "seq_mean_k1", "seq_mean_k2", "seq_mean_k3", "seq_max_k2", "seq_max_k3")
-_ROW = Window.partitionBy("row_id")
+
+
+def _row():
+    return Window.partitionBy("row_id")
 
 
 def parse_thresholds(options: list[str], spec: str | float | None) -> dict[str, tuple[float, float]]:
@@ -38,7 +41,7 @@ def log_ratio() -> Column:
 
 def importance_weights(tok: DataFrame, level: str = "token", threshold: float = 2.0, normalize: bool = False) -> DataFrame:
     """Adds rho: exp of the log ratio (of the token, or summed over the sequence), cut at the threshold, 0 where masked; optionally scaled to a batch mean of 1."""
-    x = log_ratio() if level == "token" else F.sum(used(log_ratio())).over(_ROW)
+    x = log_ratio() if level == "token" else F.sum(used(log_ratio())).over(_row())
     if level not in ("token", "sequence"):
         raise ValueError(f"unknown importance level {level}")
     w = F.least(F.exp(clamp(x, -20.0, 20.0)) * F.col("m"), F.lit(threshold))
@@ -60,12 +63,12 @@ def statistic(option: str) -> Column:
     each = _divergence(kind, log_ratio())
     if level == "token":
         return each
-    total, n = F.sum(used(each)).over(_ROW), F.sum("m").over(_ROW)
+    total, n = F.sum(used(each)).over(_row()), F.sum("m").over(_row())
     if level == "seq_sum":
         return total
     if level == "seq_mean":
         return total / (n + 1e-8)
-    return F.max(F.when(F.col("m") != 0, each)).over(_ROW)
+    return F.max(F.when(F.col("m") != 0, each)).over(_row())
 
 
 def reject(tok: DataFrame, options: str, thresholds: str | float) -> DataFrame:
