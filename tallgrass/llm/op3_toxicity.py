@@ -125,6 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         back = evidence(train.where("part = 0").select("doc_id", "text", "y"), model).join(train.select("doc_id", "y"), "doc_id").select("z", "y").toPandas()
         if len(back):
             model.knots = calibration.isotonic(np.round(back["z"].to_numpy(), 6), back["y"].to_numpy())
+            # the calibration stands; now the rows that it was made on add their evidence
+            model.weights = log_odds(train, chars)
     return model
 
 
