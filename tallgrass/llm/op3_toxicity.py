@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallgrass.llm import calibration
-from tallgrass.llm.common import crc_bucket, materialize, table
+from tallgrass.llm.common import crc_bucket, materialize, split_by, table
 from tallgrass.llm.deobfuscate import SIZE, CharModel, Decoder, trigram_counts
 
 TRAIN_ROWS, WEIGHTS, LEAST, STRONGEST, STEMS = 40_000, 50_000, 3, 4, (4, 5, 6)
@@ -116,7 +116,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     n = known.count()
     if n > TRAIN_ROWS:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * TRAIN_ROWS / n))
-    train = docs.join(known, "doc_id").groupBy("text").agg(F.max("y").alias("y"), F.min("doc_id").alias("doc_id"))
+    # only labelled texts are moved
+    labelled = split_by(docs, known.select("doc_id"))[1]
+    train = labelled.join(known.hint("merge"), "doc_id").groupBy("text").agg(F.max("y").alias("y"), F.min("doc_id").alias("doc_id"))
     # weights come from three quarters, the calibration from the rest
     train = materialize(train.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4))), "op3-train")
     weights = log_odds(train.where("part > 0"), chars)
