@@ -184,6 +184,8 @@ def _best(histogram: dict[str, dict[int, tuple[float, float, float]]]) -> tuple[
 
 def boost(counts: DataFrame) -> tuple[float, list[Tree]]:
     """Trees from rows (features, ok, n): Newton steps on the logistic loss. Each level is one aggregation, whose result is a few hundred numbers."""
+    # counts are as many as there are different feature rows, however large the corpus: one partition holds them, and no level shuffles
+    counts = counts.coalesce(1)
     total = counts.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("p")).first()
     if not total.n or not total.p or total.p == total.n:
         return 0.0, []
@@ -226,7 +228,7 @@ def boost(counts: DataFrame) -> tuple[float, list[Tree]]:
 
 def thresholds(held: DataFrame, score: Column) -> dict[int, float]:
     """For each kind the lowest score above which PRECISION of held-out candidates pass; none where too few do."""
-    rows = held.select("kind", F.round(score, 3).alias("s"), "ok", "n").groupBy("kind", "s").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("p")).collect()
+    rows = held.coalesce(1).select("kind", F.round(score, 3).alias("s"), "ok", "n").groupBy("kind", "s").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("p")).collect()
     out: dict[int, float] = {}
     for kind in range(len(KINDS)):
         n = p = 0
