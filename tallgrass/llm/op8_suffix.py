@@ -266,9 +266,11 @@ def _dealt(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups, buckets = max(1, -(-size // GROUP_BYTES)), max(1, -(-size // BUCKET_BYTES))
     texts = docs.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(groups)).cast("int").alias("g"), "doc_id", "text").repartition("g")
-    common = texts.groupBy("g").applyInArrow(_fingerprints(buckets), _FINGERPRINTS).groupBy("bucket").applyInArrow(_common, "g int, n int, common binary")
+    # packed blocks are small for the work that they hold, so the number of tasks follows the buckets, not the bytes
+    spread = 2 * buckets
+    common = texts.groupBy("g").applyInArrow(_fingerprints(buckets), _FINGERPRINTS).repartition(spread, "bucket").groupBy("bucket").applyInArrow(_common, "g int, n int, common binary")
     pieces = texts.groupBy("g").cogroup(common.groupBy("g")).applyInArrow(_pieces(buckets), _PIECES)
-    found = pieces.groupBy("bucket").applyInArrow(_search, _FOUND)
+    found = pieces.repartition(spread, "bucket").groupBy("bucket").applyInArrow(_search, _FOUND)
     return texts, found
 
 
