@@ -76,14 +76,18 @@ def bootstrap_indices(n: int, k: int, times: int = 1000, seed: int = 42) -> np.n
 
 
 def best_worst(rows: DataFrame, group: list[str], value: str, pos: str, times: int = 1000, seed: int = 42) -> DataFrame:
-    """(group, k, best_mean, best_std, worst_mean, worst_std) by bootstrap. Draws depend on a group's size only, so one index table for each size is made here and joined: times x k numbers for each, none of them data."""
+    """(group, k, best_mean, best_std, worst_mean, worst_std) by bootstrap. Draws depend on a group's size only, so one index table for each size is made here and sent to every task: times x k numbers for each, none of them data. A group's draws are folded in its row, one row for each k."""
     spark = rows.sparkSession
     packed = rows.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct(pos, value))), lambda x: x[value]).alias("x")).withColumn("n", F.size("x"))
     counts = [r.n for r in packed.select("n").distinct().where("n > 1").collect()]
-    table = [(n, k, b, [int(i) for i in row]) for n in counts for k in sizes(n) for b, row in enumerate(bootstrap_indices(n, k, times, seed))]
-    draws = spark.createDataFrame(table, "n int, k int, b int, idx array<int>")
-    picked = packed.join(draws, "n").select(*group, "k", F.transform("idx", lambda i: F.get("x", i)).alias("y"))
-    return picked.groupBy(*group, "k").agg(F.avg(F.array_max("y")).alias("best_mean"), F.stddev_pop(F.array_max("y")).alias("best_std"), F.avg(F.array_min("y")).alias("worst_mean"), F.stddev_pop(F.array_min("y")).alias("worst_std"))
+    table = [(n, k, bootstrap_indices(n, k, times, seed).tolist()) for n in counts for k in sizes(n)]
+    draws = F.broadcast(spark.createDataFrame(table, "n int, k int, idx array<array<int>>"))
+    drawn = lambda pick: F.filter(F.transform("idx", lambda row: pick(F.transform(row, lambda i: F.get("x", i)))), lambda y: y.isNotNull())
+    mean = lambda y: F.try_divide(F.aggregate(y, F.lit(0.0), lambda s, e: s + e), F.size(y))
+    spread = lambda y, m: F.sqrt(F.try_divide(F.aggregate(y, F.lit(0.0), lambda s, e: s + (e - m) * (e - m)), F.size(y)))
+    picked = packed.join(draws, "n").select(*group, "k", drawn(F.array_max).alias("best"), drawn(F.array_min).alias("worst"))
+    means = picked.select("*", mean(F.col("best")).alias("best_mean"), mean(F.col("worst")).alias("worst_mean"))
+    return means.select(*group, "k", "best_mean", spread(F.col("best"), F.col("best_mean")).alias("best_std"), "worst_mean", spread(F.col("worst"), F.col("worst_mean")).alias("worst_std"))
 
 
 def validation_means(rows: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ query(
     "validation_mean_std",
     "WITH p AS (SELECT c_mktsegment AS data_source, o_custkey AS uid, avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) SELECT data_source, round(avg(m), 4) + 0.0 AS mean, round(avg(s), 4) + 0.0 AS std, max(n) AS n_max FROM p GROUP BY 1",
 )(lambda spark, sf: metrics.validation_means(_t(spark, sf, "orders").join(_t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("data_source"), F.col("o_custkey").alias("uid"), F.col("o_totalprice").alias("score"))).select("data_source", r6("mean", 4).alias("mean"), r6("std", 4).alias("std"), "n_max"))
-query("best_worst_bootstrap")(lambda spark, sf: metrics.best_worst(_t(spark, sf, "lineitem").where("l_orderkey < 400"), ["l_orderkey"], "l_extendedprice", "l_linenumber", 200))
+query("best_worst_bootstrap")(lambda spark, sf: metrics.best_worst(_t(spark, sf, "lineitem"), ["l_orderkey"], "l_extendedprice", "l_linenumber", 200))
 query("traj_ordinal", "WITH a AS (SELECT *, (event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id))::INT AS new FROM events), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM a) SELECT event_id, (row_number() OVER (PARTITION BY user_id, run ORDER BY event_id) - 1)::INTEGER AS traj_ordinal FROM b")(
     lambda spark, sf: metrics.islands(_t(spark, sf, "events"), "event_type", "user_id", "event_id").select("event_id", "traj_ordinal")
 )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallgrass.functions import chat, graders, masked
 from tallgrass.operators import advantage as A
 from tallgrass.operators import balance, batch, correction, losses, metrics
+from tallgrass.plans.catalogue import queries
 from tallgrass.streaming import rollouts
 
 
@@ -177,3 +178,18 @@ def test_catalogue_names(spark):
 
 def test_k3_and_thresholds():
     assert math.isclose(correction.parse_thresholds(["token_k1"], "2")["token_k1"][0], 0.5)
+
+
+def test_best_worst_query_covers_every_order(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    sizes = {1: 4, 399: 1, 400: 2, 401: 3, 90_000: 7, 90_001: 7, 5_000_000_000: 5}
+    rows = [(key, n, float(rng.integers(100, 9000)) / 4) for key, size in sizes.items() for n in range(1, size + 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_extendedprice double").repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {}
+    for key, size in sizes.items():
+        x = np.array([v for k, _, v in rows if k == key])
+        for k in sorted({2, 4, size} if size > 4 else {2, size}) if size > 1 else []:
+            y = x[np.random.RandomState(42).choice(size, size=(200, k), replace=True)]
+            want[key, k] = (y.max(1).mean(), y.max(1).std(), y.min(1).mean(), y.min(1).std())
+    got = {(r.l_orderkey, r.k): (r.best_mean, r.best_std, r.worst_mean, r.worst_std) for r in queries()["best_worst_bootstrap"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[c], want[c], rtol=1e-12) for c in want)
