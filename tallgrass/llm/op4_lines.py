@@ -1,12 +1,12 @@
 """Line dedup by winnowing over line hashes.
 
 Lines are compared without white space at their ends; blank lines are neither compared nor removed. A span is the shortest run of lines worth removing: one line of
-LONG_WORDS words or more, else two lines that follow each other, or the only line of a document. A line goes if it lies in a span whose lines also form a span at
+LONG_WORDS words or more, two lines that follow each other, or the only line of a document. A line goes if it lies in a span whose lines also form a span at
 an earlier place (smaller doc_id, or further up in the same document). Spans that overlap or touch make up the removed runs.
 
 Winnowing: of each span the smallest line hash (the leftmost of equals) is its fingerprint, so two equal spans always have equal fingerprints. Fingerprints and their
-positions are joined first; only where a fingerprint stands at two places are the spans around it, to both sides, compared. Consecutive matching spans extend a
-match as far as it goes.
+positions are joined first; only where a fingerprint stands at two places are the spans around it, to both sides, compared. Every two neighbours are a span,
+long lines or not, so consecutive matching spans extend a match over the whole of a repeated run.
 
 Scale: what is shuffled is a row for each fingerprint with the spans around it, then the spans of fingerprints that repeat. Both are aggregated before the
 shuffle (first place, last place), and the result joined back, where a hot line's rows can be split. Texts move once, to lose their lines.
@@ -43,7 +43,7 @@ def spans(text: str, long_words: int = LONG_WORDS) -> list[tuple[int, int, bytes
     for i, (k, line) in enumerate(lines):
         if len(lines) == 1 or (len(line) >= 2 * long_words - 1 and len(line.split()) >= long_words):
             out.append((k, k, b"1" + line.encode(), hashed[i], k))
-        elif i + 1 < len(lines):
+        if i + 1 < len(lines):
             j, other = lines[i + 1]
             low = i if hashed[i] <= hashed[i + 1] else i + 1
             out.append((k, j, b"2" + line.encode() + b"\n" + other.encode(), hashed[low], lines[low][0]))

@@ -56,3 +56,30 @@ def test_columns_and_empty_table(spark):
     got = op.clean_texts(docs)
     assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == [(1, "a\nb", 3, "p"), (2, "c", 1, "q"), (None, None, None, None)]
     assert op.line_report(docs.limit(0)).count() == 0 and op.clean_texts(docs.limit(0)).count() == 0
+
+
+def repeated_runs(rows, long_words):
+    """Lines of later repeated runs, by comparing every two places line by line as far as they agree: runs of two lines or more, of one long line, or a text's only line."""
+    docs = {i: [(k, x.strip()) for k, x in enumerate(t.split("\n")) if x.strip()] for i, t in rows}
+    places = [(i, n) for i in sorted(docs) for n in range(len(docs[i]))]
+    gone = set()
+    for a in places:
+        for b in places:
+            if a < b:
+                x, y = docs[a[0]][a[1] :], docs[b[0]][b[1] :]
+                size = next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p[1] != q[1]), min(len(x), len(y)))
+                only = len(docs[a[0]]) == len(docs[b[0]]) == 1
+                if size >= 2 or (size == 1 and (only or len(x[0][1].split()) >= long_words)):
+                    gone |= {(b[0], k) for k, _ in y[:size]}
+    return gone
+
+
+def test_a_short_line_after_a_long_one(spark):
+    long, other = "a long line of seven plain words", "another long line of seven plain words"
+    rows = [(1, f"x\n{long}\nshort"), (2, f"y\n{long}\nshort"), (3, f"{long}\nshort\nz"), (4, f"{other}\n\n{long}\nshort"), (5, f"{long}\nnew"), (6, "short"), (7, f"{other}\n{long}\nnew\nshort")]
+    rng = random.Random(3)
+    rows += [(i, "\n".join(rng.choice([long, other, "p", "q", "r", f"only {i}"]) for _ in range(rng.randrange(1, 7)))) for i in range(10, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.place) for r in op.removals(docs, 6).collect()}
+    assert {(2, 1), (2, 2), (3, 0), (3, 1), (4, 2), (4, 3)} <= got and (5, 1) not in got
+    assert got == repeated_runs(rows, 6)
