@@ -23,6 +23,8 @@ from tallgrass.llm.shingles import sets_of, shared
 
 #: Similarity at least NUMERATOR / 100; bytes of a sketch and of a small one; members of a block; comparisons of a hub in one task.
 NUMERATOR, SKETCH, SMALL, BLOCK, PER_SALT = 80, 256, 64, 2048, 256
+#: Tokens and members of a block of a component whose members' partners are counted; cells of a table of tokens at once.
+BLOCK_TOKENS, BLOCK_MEMBERS, CELLS = 1 << 19, 1024, 1 << 23
 
 
 def prefix_size(n: int) -> int:
@@ -202,6 +204,65 @@ def crossing(buckets: DataFrame, labels: DataFrame, sketches: DataFrame) -> Data
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets that left names with those that right names."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    some = times > 1
+    place = np.cumsum(some) - 1
+    owner, code = owner[some[code]], place[code[some[code]]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    out, width, total = np.zeros((len(left), len(right)), dtype=np.float32), max(1, CELLS // len(sets)), int(some.sum())
+    for s in range(0, total, width):
+        a, b = np.searchsorted(code, [s, s + width])
+        has = np.zeros((len(sets), min(width, total - s)), dtype=np.float32)
+        has[owner[a:b], code[a:b] - s] = 1
+        out += has[left] @ has[right].T
+    return out.astype(np.int64)
+
+
+def partners(labels: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(id, n_links): with how many other ids of its component (id, label) each id is similar, exactly. texts: (id, text); sizes: (id, n).
+
+    Similar ids are always in one component, and two alone in theirs are linked. Larger components are dealt in blocks of members; every pair of blocks is compared in one
+    task by a product of matrices and leaves one row for each member, never a pair.
+    """
+    members = labels.join(sizes.groupBy("id").agg(F.max("n").alias("n")), "id")
+    whole = members.groupBy("label").agg(F.count("*").alias("size"), F.ceil(F.greatest(F.sum("n") / BLOCK_TOKENS, F.count("*") / BLOCK_MEMBERS)).cast("int").alias("blocks"))
+    dealt = materialize(labels.join(whole, "label"), "members")
+    two = dealt.where("size = 2").select("id", F.lit(1).cast("long").alias("n_links"))
+    more = dealt.where("size > 2").select("label", "id", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("mine"))
+    source = only_wanted(texts, more.select("id").distinct())
+    rows = more.join(source.hint("merge"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "text")
+    rows = rows.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, 3):
+            i, j = group.column(1)[0].as_py(), group.column(2)[0].as_py()
+            mine, ids = group.column(3).to_numpy(), group.column(4).to_numpy()
+            sets = list(sets_of(group.column(5)))
+            left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+            if not len(left) or not len(right):
+                continue
+            n = np.array([len(x) for x in sets])
+            both, sums = overlaps(sets, left, right), n[left][:, None] + n[right][None, :]
+            x, y = np.nonzero((both > 0) & (100 * both >= NUMERATOR * (sums - both)))
+            one, p = np.unique(ids[left], return_inverse=True)
+            other, q = np.unique(ids[right], return_inverse=True)
+            hit = np.zeros((len(one), len(other)), dtype=bool)
+            hit[p[x], q[y]] = True
+            if i == j:
+                np.fill_diagonal(hit, False)
+            found = [(one, hit.sum(axis=1))] + ([(other, hit.sum(axis=0))] if i < j else [])
+            for who, times in found:
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(times.astype(np.int64))], names=["id", "n"])
+
+    counted = rows.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n_links"))
+    return counted.unionByName(two)
+
+
 def link(buckets: DataFrame, texts: DataFrame, sketches: DataFrame, orders: int = 0) -> tuple[DataFrame, DataFrame]:
     """(labels, links): components (id, label) and the links (a, b) that make them, of texts (id, text) that share a bucket (token, id). sketches: (id, n, sketch, small)."""
     buckets = materialize(buckets, "buckets")

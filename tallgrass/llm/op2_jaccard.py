@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallgrass.llm.common import materialize, mix64, table, without_rows
-from tallgrass.llm.linking import link, prefix_size, sketch, small_sketch
+from tallgrass.llm.linking import link, partners, prefix_size, sketch, small_sketch
 from tallgrass.llm.shingles import set_id, sets_of
 
 ORDERS, FREQUENT = 2, 4096
@@ -98,7 +98,7 @@ def postings(docs: DataFrame, last: np.ndarray) -> DataFrame:
 
 
 def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, labels, links): (doc_id, n, rep) of every document, where rep is the smallest id with the same set; components (id, label) of representatives; their links (a, b)."""
+    """(rows, labels, sizes): (doc_id, n, rep) of every document, where rep is the smallest id with the same set; components (id, label) of representatives; sizes (id, n) of their sets."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = materialize(signatures(docs), "op2-signed")
     rows = signed.where("token IS NULL").select("doc_id", "sid", "n", "sketch", "small")
@@ -109,22 +109,25 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     buckets = met.join(reps.select("sid", "id"), "sid").select("token", "id").distinct()
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     sketches = reps.groupBy("id").agg(F.max(F.struct("n", "sketch", "small")).alias("x")).select("id", "x.n", "x.sketch", "x.small")
-    labels, links = link(buckets, texts, sketches, ORDERS)
+    labels, _ = link(buckets, texts, sketches, ORDERS)
     named = rows.join(reps.select("sid", "n", F.col("id").alias("rep")), ["sid", "n"], "left")
-    return named.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), labels, links
+    return named.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), labels, sketches.select("id", "n")
 
 
 def similarity_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links: links are those that the classes were made from, at the document's representative."""
-    rows, labels, links = join_classes(docs)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    """doc_id, n_shingles, component_id, n_links: how many different texts, one for each representative, are similar to the document's."""
+    rows, labels, sizes = join_classes(docs)
+    labels = materialize(labels, "op2-labels")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
+    degree = partners(labels, texts, sizes).withColumnRenamed("id", "rep")
     out = rows.join(labels, rows["rep"] == labels["id"], "left").join(degree, "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the smallest id, with all columns; documents without words or id stay."""
-    gone = similarity_classes(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    rows, labels, _ = join_classes(docs)
+    gone = rows.join(labels, rows["rep"] == labels["id"], "left").where(F.coalesce("label", "rep") != F.col("doc_id")).select("doc_id").distinct()
     return without_rows(docs, materialize(gone, "op2-gone"), {"doc_id": F.col("doc_id").cast("long")})
 
 

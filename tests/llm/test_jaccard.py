@@ -102,3 +102,25 @@ def test_edges_of_the_input(spark):
     docs = spark.createDataFrame([(2, "a b c d e f", 9), (1, "A b c d e f", 8), (3, None, 7), (None, "a b c d e f", 6)], "doc_id long, text string, n long")
     kept = op2_jaccard.clean_documents(docs)
     assert kept.columns == docs.columns and sorted(r.n for r in kept.collect()) == [6, 7, 8]
+
+
+@pytest.mark.parametrize("small_blocks", [False, True])
+def test_links_are_all_similar_texts(spark, monkeypatch, small_blocks):
+    if small_blocks:
+        monkeypatch.setattr(linking, "BLOCK_MEMBERS", 9)
+        monkeypatch.setattr(linking, "CELLS", 500)
+    rows = corpus(3, 60)
+    rng = random.Random(7)
+    base = [f"v{k}" for k in range(300)]
+    for i in range(4000, 4040):  # all similar to each other, none the same
+        w = list(base)
+        w[rng.randrange(300)] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    first = {}
+    for i, t in sorted((i, t) for i, t in rows if i is not None and sets(t)):
+        first.setdefault(frozenset(sets(t)), i)
+    want = {i: sum(i != j and 100 * len(x & y) >= 80 * len(x | y) for y, j in first.items()) for x, i in first.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.n_links) for r in op2_jaccard.similarity_classes(docs).collect()]
+    assert sorted(got, key=str) == sorted(((i, 0 if i is None else want.get(first.get(frozenset(sets(t))), 0)) for i, t in rows), key=str)
+    assert {n for i, n in got if i is not None and 4000 <= i < 4040} == {39}
