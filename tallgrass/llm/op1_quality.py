@@ -149,7 +149,8 @@ def fit(labelled: DataFrame, seed: int = 11) -> Model | None:
     zz, zy = _sums(train.where("part > 0"), model)
     if np.isscalar(zz):
         return None
-    model.beta = np.linalg.solve(zz + RIDGE * n * np.eye(len(zz)) / len(zz) + 1e-9 * np.eye(len(zz)), zy)
+    # the last feature is 1, so its sum of squares is the number of rows summed
+    model.beta = np.linalg.solve(zz + RIDGE * zz[-1, -1] * np.eye(len(zz)) / len(zz) + 1e-9 * np.eye(len(zz)), zy)
     back = train.where("part = 0").select("x", "y").toPandas()
     if len(back):
         model.knots = calibration.isotonic(np.round(model.features(np.vstack(back["x"].to_numpy())) @ model.beta, 6), back["y"].to_numpy())

@@ -48,3 +48,13 @@ def test_edges(spark):
     assert len(rows) == 4 and {r.score for r in rows} == {0.5} and {r.predicted for r in rows} == {0}
     assert op1_quality.quality_scores(docs.limit(0), labels).count() == 0
     assert docs.where(crc_bucket("doc_id", 4) == 2).count() <= 4
+
+
+def test_ridge_follows_the_rows_summed(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1600, 3))
+    labelled = spark.createDataFrame([(i, r.tolist(), float(r[0] > 0)) for i, r in enumerate(x)], "doc_id long, x array<double>, y double")
+    monkeypatch.setattr(op1_quality, "COMPONENTS", 16)
+    chosen = op1_quality.fit(labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 125_000))
+    monkeypatch.setattr(op1_quality, "TRAIN_ROWS", 200)
+    assert np.allclose(op1_quality.fit(labelled).beta, chosen.beta, rtol=1e-6)
