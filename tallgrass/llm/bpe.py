@@ -95,7 +95,7 @@ class SegmentTree:
 
 
 class Bpe:
-    def __init__(self, model_json: str, cache: int = 400_000):
+    def __init__(self, model_json: str, cache: int = 16 << 20):
         spec = json.loads(model_json)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -111,7 +111,7 @@ class Bpe:
         self.split = Splitter(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.at_special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.words: dict[str, tuple[bytes, str]] = {}
-        self.cache = cache
+        self.cache, self.used = cache, 0
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word."""
@@ -153,9 +153,13 @@ class Bpe:
     def _add(self, word: str) -> tuple[bytes, str]:
         ids = self.merge(word)
         found = (np.array(ids, dtype="<u4").tobytes(), self.decode(ids))
-        if len(word) <= 40:
-            if len(self.words) >= self.cache:
+        # about what the entry takes, with the objects around it; beyond `cache` bytes it starts afresh
+        size = 300 + 4 * len(word) + len(found[0]) + 4 * len(found[1])
+        if size <= self.cache >> 8:
+            if self.used + size > self.cache:
                 self.words.clear()
+                self.used = 0
+            self.used += size
             self.words[word] = found
         return found
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,35 +13,70 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallgrass.sources.durable import discard, durable  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a session without the setting (tests) gets a local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found is None:
-        found = "file://" + tempfile.mkdtemp(prefix="tallgrass-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return durable(df, name)
+
+
+def fresh(name: str, *taken: Iterable[str]) -> str:
+    """name, with underscores added until no column of `taken` has it (names are compared without regard to case, as Spark does)."""
+    used = {c.lower() for columns in taken for c in columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+#: Bytes of a batch that an operator handles at once; what it builds from them is a small multiple.
+SLICE = 1 << 20
+_STATE: dict[object, object] = {}
+
+
+def held(key: object, build: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks: the state of one operator at a time, so that the workers of a job with many operators stay small."""
+    if key not in _STATE:
+        _STATE.clear()
+        release()
+        _STATE[key] = build()
+    return _STATE[key]
+
+
+def release() -> None:
+    """Give memory that is free back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
+def slices(batch: pa.RecordBatch, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about `size` bytes, of one row at least."""
+    if batch.num_rows <= 1 or batch.nbytes <= size:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from slices(batch.slice(0, half), size)
+    yield from slices(batch.slice(half), size)
+
+
+def by_slices(run: Callable, size: int = SLICE) -> Callable:
+    """A function over Arrow batches that gets them in slices, one after another, and leaves no memory behind."""
 
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(part for batch in batches for part in slices(batch, size))
+        finally:
+            release()
 
-def drop_materialized(df: DataFrame) -> None:
-    """Delete the files of a table that materialize() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+    return outer
 
 
 def crc_bucket(doc_id: Column | str, n: int) -> Column:
@@ -98,30 +135,33 @@ def split_by(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs.where(~flag), docs.where(flag)
 
 
-def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs with `text` less the lines that gone (doc_id, place) names, places counted from 0, and `_gone`, the number of lines that went (0: the text is as it was).
+def without_lines(docs: DataFrame, gone: DataFrame, count: str) -> DataFrame:
+    """docs with `text` less the lines that gone (doc_id, place) names, places counted from 0, and the column `count`, the number of lines that went (0: the text is as it was).
 
-    Texts that lose nothing are not moved. The join of the others sorts and merges at every size.
+    Texts that lose nothing are not moved. The join of the others sorts and merges at every size. Names of helper columns give way to those of docs.
     """
-    gone = gone.select(F.col("doc_id").alias("_d"), "place")
-    docs = docs.drop("_gone")
-    rest, touched = split_by(docs, gone.select("_d").distinct())
-    of_doc = gone.groupBy("_d").agg(F.array_sort(F.collect_set("place")).alias("_places"))
-    out = touched.join(of_doc.hint("merge"), touched["doc_id"].cast("long") == F.col("_d"), "left")
-    kept = F.array_join(F.filter(F.split(touched["text"], "\n"), lambda x, i: ~F.array_contains("_places", i)), "\n")
-    text = F.when(F.col("_d").isNull(), touched["text"]).otherwise(kept).alias("text")
-    count = F.greatest(F.coalesce(F.size("_places"), F.lit(0)), F.lit(0)).alias("_gone")
-    out = out.select(*[text if c == "text" else touched[c] for c in docs.columns], count)
-    return rest.withColumn("_gone", F.lit(0)).unionByName(out)
+    key, places = fresh("_doc", docs.columns, [count]), fresh("_places", docs.columns, [count])
+    gone = gone.select(F.col("doc_id").alias(key), "place")
+    rest, touched = split_by(docs, gone.select(key).distinct())
+    of_doc = gone.groupBy(key).agg(F.collect_set(F.col("place").cast("int")).alias(places))
+    out = touched.join(of_doc.hint("merge"), F.col("doc_id").cast("long") == F.col(key), "left")
+    # one pass over the lines: the places that stay are a difference of sets
+    both = F.array(F.struct(F.split("text", "\n").alias("l"), F.col(places).alias("p")))
+    kept = F.get(F.transform(both, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x["l"]) - 1), x["p"]), lambda i: F.get(x["l"], i)), "\n")), 0)
+    text = F.when(F.col(key).isNull(), F.col("text")).otherwise(kept).alias("text")
+    n = F.greatest(F.coalesce(F.size(places), F.lit(0)), F.lit(0)).alias(count)
+    out = out.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns], n)
+    return rest.withColumn(count, F.lit(0)).unionByName(out)
 
 
 def without_rows(docs: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """docs less the rows that gone names. gone has the columns that keys names, the first of them an id; keys says how a row of docs gives them. Rows that can't be meant are not moved."""
     first = next(iter(keys))
     rest, touched = split_by(docs, gone.select(first).distinct())
-    gone = gone.select(*[F.col(k).alias(f"_key_{k}") for k in keys])
+    names = {k: fresh(f"_key_{k}", docs.columns) for k in keys}
+    gone = gone.select(*[F.col(k).alias(names[k]) for k in keys])
     same = None
     for k, c in keys.items():
-        one = c.eqNullSafe(F.col(f"_key_{k}"))
+        one = c.eqNullSafe(F.col(names[k]))
         same = one if same is None else same & one
     return rest.unionByName(touched.join(gone.hint("merge"), same, "left_anti"))

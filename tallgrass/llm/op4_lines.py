@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import materialize, table, without_lines
+from tallgrass.llm.common import fresh, materialize, table, without_lines
 
 LONG_WORDS = 30
 BLANK = " \t\n\x0b\x0c\r"
@@ -82,19 +82,20 @@ def removals(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
 
 def clean_texts(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     """Rows of docs with `text` less its repeated lines; n_chars, where there is one, follows."""
-    out = without_lines(docs, materialize(removals(docs, long_words), "op4-removals"))
+    gone = fresh("_gone", docs.columns)
+    out = without_lines(docs, materialize(removals(docs, long_words), "op4-removals"), gone)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.drop("_gone")
+        out = out.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.drop(gone)
 
 
 def line_report(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     """doc_id, n_lines (not blank), n_removed, kept_bytes, kept_sha256."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     solid = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S")))
-    out = without_lines(docs.withColumn("n_lines", solid.cast("long")), materialize(removals(docs, long_words), "op4-removals"))
+    out = without_lines(docs.withColumn("n_lines", solid.cast("long")), materialize(removals(docs, long_words), "op4-removals"), "n_removed")
     kept = F.col("text").cast("binary")
-    return out.select("doc_id", "n_lines", F.col("_gone").cast("long").alias("n_removed"), F.octet_length(kept).cast("long").alias("kept_bytes"), F.sha2(kept, 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", F.col("n_removed").cast("long").alias("n_removed"), F.octet_length(kept).cast("long").alias("kept_bytes"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

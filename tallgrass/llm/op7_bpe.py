@@ -1,9 +1,11 @@
 """BPE encoding and decoding of whole documents by a public vocabulary.
 
-The vocabulary file (under 2 MB, read on the driver) is broadcast; rows are independent, so there is no shuffle. Each Python worker keeps the results of up to
-400,000 words, and starts afresh beyond that: memory is bounded, results don't depend on it.
+The vocabulary file (under 2 MB, read on the driver) is broadcast; rows are independent, so there is no shuffle. Each Python worker keeps the results of words up to
+16 MB, and starts afresh beyond that: memory is bounded, results don't depend on it. Batches are taken in slices of 1 MB.
 
-Null or empty text: no tokens, digests of nothing. Null doc_id stays null, repeated rows repeat. A text that holds a special token's string gets that token, as the library does by default.
+Null or empty text: no tokens, digests of nothing. Null doc_id stays null, repeated rows repeat, an empty table gives an empty one. Equal ranks in a word: the leftmost pair
+merges first. Very long texts are one slice each; their time grows with n log n of their longest word. A text that holds a special token's string gets that token, as the
+library does by default. encode_documents() keeps all columns but such as are named token_ids or decoded, which give way to its own.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallgrass.llm.bpe import Bpe
-from tallgrass.llm.common import table
+from tallgrass.llm.common import by_slices, held, table
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -28,16 +30,9 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-_MODELS: dict[int, Bpe] = {}
-
-
 def _model(model_json: str) -> Bpe:
     """One model for each worker process and vocabulary."""
-    key = hash(model_json)
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Bpe(model_json)
-    return _MODELS[key]
+    return held(("bpe", hash(model_json)), lambda: Bpe(model_json))
 
 
 def _share(spark: SparkSession, vocabulary: str | None):
@@ -48,8 +43,7 @@ def _share(spark: SparkSession, vocabulary: str | None):
 def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Every column of docs, and token_ids (array of int) and decoded (string) of its text."""
     shared = _share(docs.sparkSession, vocabulary)
-    clash = [c for c in docs.columns if c in ("token_ids", "decoded")]
-    docs = docs.drop(*clash)
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("token_ids", "decoded")])
     at = docs.columns.index("text")
     types = pa.schema([("token_ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
@@ -61,7 +55,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
             yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array([p[1] for p in pairs], type=pa.string())], names=[*batch.schema.names, *types.names])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(by_slices(run), schema)
 
 
 def _sums(counts) -> list[int]:
@@ -81,7 +75,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str | None = None, column:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.decode(x or []) for x in batch.column(1).to_pylist()], type=pa.string())], names=["doc_id", "decoded"])
 
-    return encoded.select("doc_id", column).mapInArrow(run, "doc_id long, decoded string")
+    return encoded.select("doc_id", column).mapInArrow(by_slices(run), "doc_id long, decoded string")
 
 
 def token_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -98,7 +92,7 @@ def token_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 decoded.append(hashlib.sha256(b.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, type=pa.int64()), pa.array(ids, type=pa.string()), pa.array(decoded, type=pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, DIGEST)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(by_slices(run), DIGEST)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

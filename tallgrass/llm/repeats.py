@@ -16,7 +16,7 @@ from tallgrass.llm.shingles import BYTES, _powers
 
 LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1
-PIECE = 1 << 20
+PIECE = 1 << 19
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 

@@ -25,21 +25,26 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, PIECE)
-        for name, base in (("up", BASE), ("down", INVERSE)):
-            row = np.full(size, base, dtype=np.uint64)
-            row[0] = 1
-            _POWERS[name] = np.cumprod(row, dtype=np.uint64)
+    """Powers of BASE and of its inverse. Those for one piece are kept; a longer text's are made when it comes."""
+    if n > PIECE:
+        return _row(BASE, n), _row(INVERSE, n)
+    if not _POWERS:
+        _POWERS.update(up=_row(BASE, PIECE), down=_row(INVERSE, PIECE))
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
+def _row(base: np.uint64, n: int) -> np.ndarray:
+    row = np.full(n, base, dtype=np.uint64)
+    row[0] = 1
+    return np.cumprod(row, dtype=np.uint64)
+
+
 def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and the bounds of each document's words, for documents that lie end to end in raw."""
     n = len(raw)

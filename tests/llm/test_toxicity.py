@@ -1,57 +1,96 @@
 import itertools
 import random
+from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from tallgrass.llm import calibration
 from tallgrass.llm import op3_toxicity as op
 from tallgrass.llm.common import table
-from tallgrass.llm.deobfuscate import CLASS, DROP, LEET, OTHER, SIZE, SUBSTITUTE, CharModel, Decoder, trigram_counts
+from tallgrass.llm.deobfuscate import CONTEXTS, ORDER, PLAIN, SIZE, SPACED, TOKEN, CharModel, Decoder, _class, disguises, gram_codes, options
 
 SMALL = "/root/testdata/sf0.01"
-PLAIN = ("the idiot and a clown were stupid worthless trash in the and of this that there was another " * 40) + "loser pathetic disgusting moron " * 20
 
 
 @pytest.fixture(scope="module")
-def decoder():
-    return Decoder(CharModel(trigram_counts(PLAIN)))
+def decoder(spark):
+    """Under the model of the corpus as it is."""
+    return Decoder(op.char_model(table(spark, SMALL, "documents")))
 
 
-@pytest.mark.parametrize(("seen", "word"), [("1d10t", "idiot"), ("cl0wn", "clown"), ("stuuupid", "stupid"), ("$tup1d", "stupid"), ("w0rthl3$s", "worthless"), ("tr@sh", "trash"), ("looooser", "loser"), ("idiot", "idiot"), ("mor0n", "moron")])
-def test_restores(decoder, seen, word):
-    assert decoder.decode(seen) == word
+@pytest.mark.parametrize(("seen", "word"), [("w0rthl3ss", "worthless"), ("worthlesss", "worthless"), ("woorthless", "worthless"), ("w0rthl3$s", "worthless"), ("worthless", "worthless"), ("1d10t", "idiot"), ("idiooot", "idiot"), ("cl0wn", "clown"), ("p@thet1c", "pathetic"), ("i" * 5000 + "diot", "idiot"), ("pathetic$", "pathetic")])
+def test_restores_on_the_corpus_model(decoder, seen, word):
+    assert decoder.word(seen) == word
 
 
-def test_spacing(decoder):
-    assert "idiot" in decoder.words("you i d i o t there") and "clown" in decoder.words("a c.l.0.w.n!")
-    assert decoder.words("") == [] and decoder.words("A b, c") == ["a", "b", "c"]
+@pytest.mark.parametrize("text", ["w o r t h l e s s", "w  o  r  t  h  l  e  s  s", "w.o-r_t*h l e s s", "w 0 r t h l 3 s s", "w oo r t h l e s s".replace("oo", "o o")])
+def test_spaced_words(decoder, text):
+    assert "worthless" in decoder.words(f"you are {text}!")
+    assert {"clown", "idiot"} <= decoder.words("a c l o w n  i d i o t")
 
 
-def test_viterbi_is_the_best_path(decoder):
-    rng = random.Random(1)
-    log = decoder.model.log
-    for _ in range(60):
-        token = "".join(rng.choice("01345aeiost") for _ in range(rng.randint(1, 6)))
-        runs = [(k, len(list(g))) for k, g in itertools.groupby(token)]
-        choices = []
-        for sign, n in runs:
-            letters = ([(sign, 0.0)] if sign.isalpha() else []) + [(x, SUBSTITUTE) for x in LEET.get(sign, "")]
-            choices.append([(x * kept, cost * n + DROP * min(n - kept, 3)) for x, cost in letters for kept in range(1, min(n, 2) + 1)])
-        best = -1e9
-        for path in itertools.product(*choices):
-            word, score = "".join(p[0] for p in path), sum(p[1] for p in path)
-            c = [0, 0, *(CLASS.get(x, OTHER) for x in word), 0]
-            best = max(best, score + sum(log[c[k - 2], c[k - 1], c[k]] for k in range(2, len(c))))
-        word = decoder.decode(token)
-        options = [sum(p[1] for p in path) for path in itertools.product(*choices) if "".join(p[0] for p in path) == word]
-        c = [0, 0, *(CLASS.get(x, OTHER) for x in word), 0]
-        assert np.isclose(max(options) + sum(log[c[k - 2], c[k - 1], c[k]] for k in range(2, len(c))), best)
+def test_a_small_model_restores_what_it_knows():
+    text = "kill the fucking fuck and kill the stupid letter " * 50
+    codes, counts = np.unique(gram_codes(text), return_counts=True)
+    d = Decoder(CharModel(codes, counts))
+    assert [d.word(w) for w in ("k1ll", "fuuck", "st0pid", "stuuupid", "kill", "letter", "l3tter")] == ["kill", "fuck", "stopid", "stupid", "kill", "letter", "letter"]
+
+
+def price(table, word):
+    total, x = 0, 0
+    for letter in [*map(_class, word), 0]:
+        total += table[x * SIZE + letter]
+        x = (x * SIZE + letter) % CONTEXTS
+    return total
 
 
-def test_trigrams_count_edges():
-    got = trigram_counts("Ab b")
-    at = {(a, b, c): int(got[(a * SIZE + b) * SIZE + c]) for a in range(3) for b in range(3) for c in range(3) if got[(a * SIZE + b) * SIZE + c]}
-    assert at == {(0, 0, 1): 1, (0, 1, 2): 1, (1, 2, 0): 1, (0, 0, 2): 1, (0, 2, 0): 1}
+def test_viterbi_is_the_cheapest_path(decoder):
+    rng = random.Random(1)
+    for _ in range(150):
+        token = "".join(rng.choice("01345aeiost$") * rng.choice([1, 1, 1, 2, 3]) for _ in range(rng.randint(1, 6)))
+        runs = [(k, len(list(g))) for k, g in groupby(token)]
+        choices = [options(sign, min(n, 3), k in (0, len(runs) - 1)) for k, (sign, n) in enumerate(runs)]
+        found = {}
+        for path in itertools.product(*choices):
+            word = "".join(p[0] for p in path)
+            total = price(decoder.table, word) + sum(p[2] for p in path)
+            found[word] = min(found.get(word, 1 << 30), total)
+        assert found[decoder.decode(token)] == min(found.values())
+
+
+def test_model_counts_runs_and_backs_off():
+    codes, counts = np.unique(gram_codes("Ab áb1b"), return_counts=True)
+    place = lambda *c: sum(x * SIZE**k for k, x in enumerate(reversed(c)))
+    assert dict(zip(codes.tolist(), counts.tolist(), strict=True)) == {place(1): 2, place(1, 2): 2, place(1, 2, 0): 2, place(2): 1, place(2, 0): 1}
+    t = np.frombuffer(CharModel(codes, counts).table, dtype=np.uint8).reshape(-1, SIZE)
+    assert t.shape == (SIZE ** (ORDER - 1), SIZE) and t[place(1), 2] < t[place(1), 3] and t[place(5, 1), 2] < t[place(5, 1), 3]
+
+
+def test_plain_texts_are_known_for_certain():
+    rng = random.Random(4)
+    signs = list("ab") + ["é", "ß", " ", " ", ".", "-", "_", "1", "@", "$", "!", "|", "€", "¡", "—", " ", "́", "日", "×", "\n"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(12))) for _ in range(5000)] + [None, ""]
+    noisy, spaced = disguises(pa.array(texts))
+    for x, n, s in zip(texts, noisy, spaced, strict=True):
+        x = (x or "").lower()
+        if not s:
+            assert SPACED.search(x) is None, x
+        if not n:
+            assert {t for t in TOKEN.findall(x) if any(map(str.isalpha, t))} == set(PLAIN.findall(x)), x
+
+
+def test_scores_against_brute_force(spark):
+    """Scores straight from their definition: no filters, nothing remembered, each text by itself."""
+    docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
+    model = op.fit(docs, labels)
+    got = {r.doc_id: r.score for r in op.with_scores(docs.select("doc_id", "text"), model, "score").collect()}
+    decoder = Decoder(model.chars)
+    for r in docs.where("doc_id % 7 = 0").collect():
+        weights = sorted((max([model.weights.get(w, 0)] + [model.weights.get(w[:k] + "*", 0) for k in op.STEMS if len(w) > k]) for w in decoder.words(r.text or "")), reverse=True)
+        z = np.array([sum(weights[: op.STRONGEST])])
+        assert got[r.doc_id] == pytest.approx(float(np.clip(calibration.apply(model.knots, z), 0, 1)[0]), abs=1e-12)
 
 
 def test_held_out_accuracy(spark):
@@ -61,11 +100,20 @@ def test_held_out_accuracy(spark):
     assert both[both.toxic == 0].predicted.mean() < 0.05
 
 
+def test_disguised_documents_go_and_clean_ones_stay(spark):
+    labels = table(spark, SMALL, "labels")
+    docs = table(spark, SMALL, "documents").select("doc_id", "text")
+    plants = ["the 1d10t and the cl0wn are p@thet1c and w0rthl3ss", "an i d i o t, a c.l.o.w.n and p a t h e t i c w o r t h l e s s", "idiooot cloown patheetic worthlesss"]
+    more = spark.createDataFrame([(10_000_000 + i, x) for i, x in enumerate(plants)] + [(20_000_000, "the of and here that with thing")], "doc_id long, text string")
+    kept = {r.doc_id for r in op.clean_documents(docs.unionByName(more), labels).where("doc_id >= 10000000").collect()}
+    assert kept == {20_000_000}
+
+
 def test_edges(spark):
-    docs = spark.createDataFrame([(1, None, 0), (None, "a 1d10t", 1), (2, "", 2), (2, "", 2), (3, "x" * 100_000 + " 1" * 20_000, 3)], "doc_id long, text string, score int")
+    docs = spark.createDataFrame([(1, None, 0, 1.0), (None, "a 1d10t", 1, None), (2, "", 2, 2.0), (2, "", 2, 2.0), (3, "x" * 100_000 + " 1" * 20_000 + " a" * 20_000, 3, 3.0)], "doc_id long, text string, score int, _toxicity double")
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, None), (None, 0, 0)], "doc_id long, quality int, toxic int")
     rows = op.toxicity_scores(docs, labels).collect()
     assert len(rows) == 5 and {r.score for r in rows} == {0.0}
     kept = op.clean_documents(docs, labels)
-    assert kept.columns == docs.columns and kept.count() == 5
+    assert kept.columns == docs.columns and kept.count() == 5 and kept.where("_toxicity = 2").count() == 2
     assert op.toxicity_scores(docs.limit(0), labels).count() == 0
