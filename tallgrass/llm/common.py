@@ -107,31 +107,52 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-#: Bits of the filter by which rows that a join can't concern are left where they are.
-FILTER_BITS = 1 << 24
+#: Least and most bits of the filter by which rows that a join can't concern are left where they are, and bits for each key. At most 32 MB are broadcast, whatever the corpus.
+FILTER_LEAST, FILTER_MOST, FILTER_EACH = 1 << 20, 1 << 28, 16
 
 
-def id_bits(ids: DataFrame) -> np.ndarray:
-    """A bit set with a bit for each id's hash: 2 MB, whatever the number of ids. With very many ids all bits are set, and the filter lets all rows through."""
-    slot = F.pmod(F.xxhash64(F.col(ids.columns[0]).cast("long")), F.lit(FILTER_BITS))
-    words = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(s, 64) AS int))) AS b"))
+def slot(key: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key.cast("long")), F.lit(bits))
+
+
+def key_bits(keys: DataFrame, hashed: bool = False) -> np.ndarray:
+    """A bit set with a bit for each key's hash (keys: one column of longs; if they are hashed already, for their last bits). Its length follows the number of keys up to FILTER_MOST bits; with very many keys it lets many others through too."""
+    key = F.col(keys.columns[0])
+    n = keys.count()
+    bits = FILTER_LEAST
+    while bits < min(FILTER_EACH * n, FILTER_MOST):
+        bits *= 2
+    at = key.bitwiseAND(F.lit(bits - 1)) if hashed else slot(key, bits)
+    words = keys.where(key.isNotNull()).select(at.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(s, 64) AS int))) AS b"))
     found = words.toPandas()
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    bits[found["w"].to_numpy(dtype=np.int64)] = found["b"].to_numpy(dtype=np.int64).view(np.uint64)
-    return bits
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[found["w"].to_numpy(dtype=np.int64)] = found["b"].to_numpy(dtype=np.int64).view(np.uint64)
+    return out
 
 
-def split_by(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows whose doc_id is not in ids, the others): the others hold all rows with one of these ids, and few more. Only ids pass through Python."""
-    bits = docs.sparkSession.sparkContext.broadcast(id_bits(ids).tobytes())
+def has_bits(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of these hashes (signed or not) have their bit."""
+    s = hashes.view(np.uint64) & np.uint64(64 * len(words) - 1)
+    return (words[s >> np.uint64(6)] >> (s & np.uint64(63))) & np.uint64(1) > 0
+
+
+def may_have(spark: SparkSession, keys: DataFrame) -> Callable[[Column], Column]:
+    """A condition on a column of longs: true for all keys, and for few others. Only the column passes through Python."""
+    words = key_bits(keys)
+    shared, bits = spark.sparkContext.broadcast(words.tobytes()), 64 * len(words)
 
     @F.pandas_udf("boolean")
     def has(slots: pd.Series) -> pd.Series:
         s = slots.to_numpy(dtype=np.int64).astype(np.uint64)
-        have = np.frombuffer(bits.value, dtype=np.uint64)
+        have = np.frombuffer(shared.value, dtype=np.uint64)
         return pd.Series((have[s >> np.uint64(6)] >> (s & np.uint64(63))) & np.uint64(1) > 0)
 
-    flag = has(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS)))
+    return lambda key: has(slot(F.coalesce(key.cast("long"), F.lit(0)), bits))
+
+
+def split_by(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose doc_id is not in ids, the others): the others hold all rows with one of these ids, and few more."""
+    flag = may_have(docs.sparkSession, ids)(F.col("doc_id"))
     return docs.where(~flag), docs.where(flag)
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import FILTER_BITS, id_bits, materialize, mix64
+from tallgrass.llm.common import by_slices, materialize, may_have, mix64
 from tallgrass.llm.shingles import sets_of, shared
 
 #: Similarity at least NUMERATOR / 100; bytes of a sketch and of a small one; members of a block; comparisons of a hub in one task.
@@ -96,15 +96,13 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 def only_wanted(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of texts (id, text) that can have one of these ids: all that have, and few others."""
-    bits = texts.sparkSession.sparkContext.broadcast(id_bits(ids).tobytes())
+    texts = texts.where("id IS NOT NULL").select("id", "text")
+    return texts.where(may_have(texts.sparkSession, ids)(F.col("id")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.frombuffer(bits.value, dtype=np.uint64)
-        for batch in batches:
-            s = np.asarray(batch.column(0)).astype(np.uint64)
-            yield batch.filter(pa.array((have[s >> np.uint64(6)] >> (s & np.uint64(63))) & np.uint64(1) > 0)).drop_columns(["s"])
 
-    return texts.where("id IS NOT NULL").select(F.pmod(F.xxhash64(F.col("id").cast("long")), F.lit(FILTER_BITS)).alias("s"), "id", "text").mapInArrow(run, "id long, text string")
+def in_several(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Keys of rows (key, value) that stand with different values. Aggregated before the shuffle, so that a hot key is one row for each task."""
+    return rows.groupBy(key).agg(F.min(value).alias("lo"), F.max(value).alias("hi")).where("lo <> hi").select(key)
 
 
 def _orders_agree(a: tuple, b: tuple) -> bool:
@@ -150,7 +148,7 @@ def verified(pairs: DataFrame, texts: DataFrame, orders: int = 0) -> DataFrame:
                         right.append(ids[i])
             yield pa.RecordBatch.from_arrays([pa.array(left, type=pa.int64()), pa.array(right, type=pa.int64())], names=["a", "b"])
 
-    return materialize(moved.mapInArrow(run, "a long, b long").distinct(), "links")
+    return materialize(moved.mapInArrow(by_slices(run), "a long, b long").distinct(), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -169,10 +167,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 def crossing(buckets: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b) of members of one bucket (token, id) that lie in different components and whose sizes and sketches (id, n, sketch) allow them to be similar."""
-    known = buckets.join(labels, "id", "left").select("token", "id", F.coalesce("label", "id").alias("label"))
-    w = Window.partitionBy("token")
-    open_ = known.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).withColumn("size", F.count("*").over(w)).where("lo <> hi")
-    open_ = materialize(open_.select("token", "id", "label", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "open")
+    known = materialize(buckets.join(labels, "id", "left").select("token", "id", F.coalesce("label", "id").alias("label")), "known")
+    size = known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo <> hi").select("token", "blocks")
+    open_ = materialize(known.join(size.hint("merge"), "token").select("token", "id", "label", "blocks"), "open")
     rows = open_.join(sketches.select("id", "n", "sketch").hint("merge"), "id")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -267,8 +264,13 @@ def link(buckets: DataFrame, texts: DataFrame, sketches: DataFrame, orders: int
     """(labels, links): components (id, label) and the links (a, b) that make them, of texts (id, text) that share a bucket (token, id). sketches: (id, n, sketch, small)."""
     buckets = materialize(buckets, "buckets")
     score = buckets.groupBy("id").agg(F.count("*").alias("keys")).join(sketches.select("id", "n"), "id").select("id", (F.col("keys") / F.greatest("n", F.lit(1))).alias("score"))
-    w = Window.partitionBy("token").orderBy(F.desc("score"), "id")
-    near = materialize(buckets.join(score, "id").select(F.col("id").alias("b"), F.first("id").over(w).alias("hub"), F.lag("id").over(w).alias("neighbour")), "near")
+    scored = materialize(buckets.join(score, "id"), "scored")
+    best = scored.groupBy("token").agg(F.max(F.struct("score", F.bitwise_not("id").alias("no"))).alias("best"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = scored.join(best.select("token", F.bitwise_not("best.no").alias("hub"), "blocks").hint("merge"), "token")
+    # neighbours within a block of a bucket, so that no task holds a whole one
+    w = Window.partitionBy("token", "block").orderBy(F.desc("score"), "id")
+    dealt = dealt.select("token", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "id", "score", "hub")
+    near = materialize(dealt.select(F.col("id").alias("b"), "hub", F.lag("id").over(w).alias("neighbour")), "near")
     hubs = materialize(plausible(near.where("hub <> b").select(F.col("hub").alias("a"), "b"), sketches), "hubs")
     # a neighbour is tried where no hub can be similar
     left = near.where("neighbour IS NOT NULL").select(F.col("neighbour").alias("a"), "b").join(hubs.select("b").distinct(), "b", "left_anti")

@@ -1,14 +1,20 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs are the lines of a text that hold MIN_WORDS words or more. Each gets a MinHash of BANDS x ROWS values over its five-word shingles. 14 bands of 4 rows find
-a pair of similarity 0.8 with probability 1 - (1 - 0.8^4)^14 = 0.9994. Paragraphs that collide in a band are joined, compared in full (Jaccard 0.8 or more) and
-clustered by components (see linking). Of each cluster the first paragraph (by doc_id, then place) stays; all others are removed from their documents.
+Paragraphs are cut by content, so that a passage gives the same ones wherever it stands: within a line, over line breaks, at any offset. After a word there is a cut if its
+key is the smallest among the AROUND words to either side; ends of sentences and lines have smaller keys than other words, and equal keys all cut. A paragraph is what lies between
+two cuts, some 11 words; its place is its number in the text. A passage of more than 50 words holds one in whole nearly always (measured in tests/llm/test_paragraphs.py).
 
-Scale: equal paragraph sets become one class before banding, so a group of exact copies is one row; bands are shuffled as (band key, class), once for each task.
-Common bands go through hubs and sketches, never through all pairs.
+Each paragraph of MIN_WORDS words or more gets a MinHash of BANDS x ROWS values over its five-word shingles. 4 bands of 2 rows find a pair of similarity 0.8 with probability
+1 - (1 - 0.8^2)^4 = 0.983, one of 0.9 with 0.9987, and equal ones always. Paragraphs that collide in a band are joined, compared in full (Jaccard 0.8 or more) and clustered by components (see linking). Of each
+cluster the first paragraph (by doc_id, then place) stays; all others are removed, with the white space after them. A shorter one goes if it has the shingles of an earlier one and
+stands beside a paragraph that goes: alone it says too little to be a copy.
 
-Null or empty text: no paragraphs, nothing removed. Shorter lines are never removed. Null doc_id: nothing is removed from such rows, and they are no one's first.
-Repeated rows: equal (doc_id, place) keep or lose a paragraph together. Other columns are not read.
+Scale: texts are read three times by vectors; what is shuffled is a row for each band of each paragraph, aggregated first, then ids of equal paragraphs. A second reading lets out only
+the bands that stand in several paragraphs. Common bands go through hubs and sketches, never through all pairs. Only texts that lose something are joined.
+
+Null or empty text, or none but white space: no paragraphs, nothing removed. Null doc_id: nothing is removed from such rows, and they are no one's first. Repeated rows: equal
+(doc_id, place, content) stay or go together. Ties: the smallest (doc_id, place) stays. Very long texts are a slice of their own, in memory of some 100 bytes for each byte. An empty table
+gives an empty one. clean_texts() keeps all columns but n_paragraphs and n_removed, which give way to its own; its helper column takes a free name.
 """
 
 from __future__ import annotations
@@ -17,97 +23,213 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallgrass.llm.common import materialize, mix64, table, without_lines
-from tallgrass.llm.linking import link, only_wanted, sketch, small_sketch
-from tallgrass.llm.shingles import set_id, sets_of
+from tallgrass.llm.common import by_slices, fresh, has_bits, key_bits, materialize, may_have, mix64, table, utf8
+from tallgrass.llm.linking import in_several, link, only_wanted, sketch, small_sketch
+from tallgrass.llm.shingles import sets_of, shingle_hashes, words_of
 
-BANDS, ROWS, MIN_WORDS = 14, 4, 20
+BANDS, ROWS, MIN_WORDS, AROUND = 4, 2, 6, 7
 _SEEDS = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TOP = ~np.uint64(0)
+_MARKS = np.zeros(256, dtype=bool)
+_MARKS[list(b".!?:;")] = True
+
+
+def _window_min(values: np.ndarray, width: int) -> np.ndarray:
+    best, step = values, 1
+    while step * 2 <= width:
+        best, step = np.minimum(best[:-step], best[step:]), step * 2
+    rest = width - step
+    return np.minimum(best[:-rest], best[rest:]) if rest else best
+
+
+class Paragraphs:
+    """The paragraphs of documents that lie end to end: document, place, first and next byte, number of words; and the words' hashes."""
+
+    def __init__(self, raw: np.ndarray, off: np.ndarray, around: int = AROUND):
+        words, starts, ends, bounds = words_of(raw, off)
+        n = len(words)
+        owner = np.repeat(np.arange(len(off) - 1), np.diff(bounds))
+        lines = np.concatenate([[0], np.cumsum(raw == 10)])
+        after = np.append(starts[1:], len(raw))[:n]
+        mark = _MARKS[raw[ends]] | (lines[after] > lines[ends + 1]) if n else np.zeros(0, dtype=bool)
+        key = mix64(words * np.uint64(3)) >> np.uint64(2)
+        key[1:] ^= np.where(owner[1:] == owner[:-1], mix64(words[:-1] * np.uint64(5)) >> np.uint64(2), np.uint64(0))
+        key |= (~mark).astype(np.uint64) << np.uint64(63)
+        # documents apart by more than a window, so that no neighbour in the batch matters
+        at = np.arange(n) + around * (owner + 1)
+        row = np.full(n + around * (len(off) + 1), _TOP)
+        row[at] = key
+        cut = key == _window_min(row, 2 * around + 1)[at - around] if n else mark
+        cut[bounds[1:][np.diff(bounds) > 0] - 1] = True
+        last = np.flatnonzero(cut)
+        first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+        self.words, self.bounds = words, np.append(first, n)
+        self.doc, self.size = owner[first], last - first + 1
+        self.place = np.arange(len(first)) - np.searchsorted(self.doc, np.arange(len(off)))[self.doc] if len(first) else first
+        same = np.append(self.doc[1:] == self.doc[:-1], False) if len(first) else mark
+        self.start = starts[first]
+        self.stop = np.where(same, np.append(self.start[1:], 0), off[self.doc + 1]) if len(first) else first
+        self.end = ends[last] + 1
+        self.values, self.at = shingle_hashes(words, self.bounds)
+        # a name for the shingles of each, with their number of times
+        self.sid = mix64(np.add.reduceat(mix64(self.values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), self.at[:-1])).view(np.int64) if len(first) else first
+
+    def bands(self) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, sid): a signed key for each band of each paragraph that is long enough. Shingles are hashes, so multiplying by an odd number and folding permutes them afresh."""
+        long = np.flatnonzero(self.size >= MIN_WORDS)
+        if not len(long):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        keys = []
+        for band in range(BANDS):
+            key = np.full(len(long), np.uint64(band + 1) * np.uint64(0x1E3779B97F4A7C15))
+            for seed in _SEEDS[band * ROWS : (band + 1) * ROWS]:
+                folded = self.values * seed
+                folded ^= folded >> np.uint64(29)
+                key = mix64(key ^ np.minimum.reduceat(folded, self.at[:-1])[long])
+            keys.append(key.view(np.int64))
+        return np.concatenate(keys), np.tile(self.sid[long], BANDS)
+
+
+def _of_batch(column: pa.Array) -> tuple[np.ndarray, Paragraphs]:
+    raw, off = utf8(column)
+    return raw, Paragraphs(raw, off)
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """(doc_id, place, sid, short) of every paragraph of docs (doc_id, text); sid names its shingles."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, p = _of_batch(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(p.doc)), pa.array(p.place.astype(np.int32)), pa.array(p.sid), pa.array(p.size < MIN_WORDS)], names=["doc_id", "place", "sid", "short"])
 
-def band_keys(values: np.ndarray) -> np.ndarray:
-    """A signed 64-bit key for each band of a set. Values are hashes, so multiplying by an odd number and folding permutes them afresh."""
-    folded = values[:, None] * _SEEDS[None, :]
-    folded ^= folded >> np.uint64(29)
-    low = folded.min(axis=0).reshape(BANDS, ROWS)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for k in range(ROWS):
-        keys = mix64(keys ^ low[:, k])
-    return keys.view(np.int64)
+    return docs.mapInArrow(by_slices(run), "doc_id long, place int, sid long, short boolean")
 
 
-def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, place, sid, n, sketch, small, bands) of every paragraph; sid names its set."""
+def bands_of(docs: DataFrame, some: DataFrame | None = None) -> DataFrame:
+    """(token, id): a row for each band of each paragraph, id being its sid; with `some` (token), all rows of these tokens and few others."""
+    shared = None if some is None else docs.sparkSession.sparkContext.broadcast(key_bits(some, True).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, places, lines = [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, line in enumerate((text or "").split("\n")):
-                    ids.append(i)
-                    places.append(k)
-                    lines.append(line)
-            keep = [i for i, line in enumerate(lines) if len(line.encode().split()) >= min_words]
-            for s in range(0, len(keep), 20_000):
-                some = keep[s : s + 20_000]
-                sets = list(sets_of(pa.array([lines[i] for i in some], type=pa.string())))
-                cells = [sketch(v) for v in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i] for i in some], pa.int64()), pa.array([places[i] for i in some], pa.int32()), pa.array([set_id(v) for v in sets], pa.int64()), pa.array([len(v) for v in sets], pa.int64()), pa.array(cells, pa.binary()), pa.array([small_sketch(c) for c in cells], pa.binary()), pa.array([np.asarray(band_keys(v)).tobytes() for v in sets], pa.binary())],
-                    names=["doc_id", "place", "sid", "n", "sketch", "small", "bands"],
-                )
-
-    return docs.mapInArrow(run, "doc_id long, place int, sid long, n long, sketch binary, small binary, bands binary")
-
-
-def bands_of(classes: DataFrame) -> DataFrame:
-    """(token, id): a row for each band of each class."""
+            keys, sids = _of_batch(batch.column(1))[1].bands()
+            if shared is not None:
+                keep = has_bits(np.frombuffer(shared.value, dtype=np.uint64), keys)
+                keys, sids = keys[keep], sids[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sids)], names=["token", "id"])
+
+    return docs.mapInArrow(by_slices(run), "token long, id long")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text) of paragraphs: wanted (doc_id, place, id) says where each stands first."""
+    of_doc = wanted.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("place", F.col("id").alias("sid"))).alias("wanted"))
+    source = only_wanted(docs.select(F.col("doc_id").alias("id"), "text"), of_doc.select("id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.repeat(np.asarray(batch.column(0)), BANDS)
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["token", "id"])
+            raw, p = _of_batch(batch.column(0))
+            begin = np.searchsorted(p.doc, np.arange(batch.num_rows + 1))
+            ids, texts = [], []
+            for i, some in enumerate(batch.column(1).to_pylist()):
+                for x in some:
+                    k = begin[i] + x["place"]
+                    # rows that share an id may differ
+                    if k < begin[i + 1] and p.sid[k] == x["sid"]:
+                        ids.append(x["sid"])
+                        texts.append(raw[p.start[k] : p.end[k]].tobytes().decode())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
+
+    return source.join(of_doc.hint("merge"), "id").select("text", "wanted").mapInArrow(by_slices(run), "id long, text string").dropDuplicates(["id"])
+
+
+def _sketches(texts: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(sets_of(batch.column(1)))
+            cells = [sketch(v) for v in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(v) for v in sets], pa.int64()), pa.array(cells, pa.binary()), pa.array([small_sketch(c) for c in cells], pa.binary())], names=["id", "n", "sketch", "small"])
 
-    return classes.select("id", "bands").mapInArrow(run, "token long, id long")
+    return texts.mapInArrow(by_slices(run), "id long, n long, sketch binary, small binary")
 
 
-def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, place): paragraphs that repeat an earlier one, exactly or nearly."""
+def removals(docs: DataFrame) -> DataFrame:
+    """(doc_id, place, sid, short): paragraphs that repeat an earlier one, exactly or nearly; of short ones all that repeat exactly, wherever they stand."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
-    every = materialize(paragraphs(docs, min_words), "op5-paragraphs")
-    classes = materialize(every.groupBy("sid").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("small").alias("small"), F.first("bands").alias("bands")).withColumnRenamed("sid", "id"), "op5-classes")
-    w = Window.partitionBy("token")
-    buckets = bands_of(classes).withColumn("lo", F.min("id").over(w)).withColumn("hi", F.max("id").over(w)).where("lo <> hi").select("token", "id").distinct()
-    buckets = materialize(buckets, "op5-buckets")
-    # texts of classes: only those in a bucket are looked up
-    need = buckets.select("id").distinct().join(classes.select("id", "first"), "id").select(F.col("first.doc_id").alias("d"), F.col("first.place").alias("place"), "id")
-    of_doc = need.groupBy("d").agg(F.collect_list(F.struct("place", "id")).alias("wanted"))
-    source = only_wanted(docs.select(F.col("doc_id").alias("id"), "text"), of_doc.select(F.col("d").alias("id")))
-    lines = source.join(of_doc, source["id"] == of_doc["d"]).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("x"))
-    texts = materialize(lines.select(F.col("x.id").alias("id"), F.get("lines", F.col("x.place")).alias("text")).where("text IS NOT NULL"), "op5-texts")
-    labels, _ = link(buckets, texts, classes.select("id", "n", "sketch", "small"))
-    named = classes.select("id", "first").join(labels, "id", "left").select("id", "first", F.coalesce("label", "id").alias("label"))
-    heads = named.groupBy("label").agg(F.min("first").alias("head"))
-    owner = named.join(heads, "label").select(F.col("id").alias("sid"), "head")
-    return every.select("doc_id", "place", "sid").join(owner, "sid").where(F.struct("doc_id", "place") != F.col("head")).select("doc_id", "place")
-
-
-def clean_texts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    every = materialize(paragraphs(docs), "op5-paragraphs")
+    place = F.struct("doc_id", "place")
+    classes = materialize(every.groupBy("sid").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("short").alias("short")), "op5-classes")
+    several = materialize(in_several(bands_of(docs), "token", "id"), "op5-tokens")
+    buckets = materialize(bands_of(docs, several).join(several.hint("merge"), "token").distinct(), "op5-buckets")
+    met = classes.where(may_have(docs.sparkSession, buckets.select("id"))(F.col("sid"))).join(buckets.select(F.col("id").alias("sid")).distinct().hint("merge"), "sid")
+    texts = materialize(_texts(docs, met.select("first.doc_id", "first.place", F.col("sid").alias("id"))), "op5-texts")
+    labels, _ = link(buckets, texts, materialize(_sketches(texts), "op5-sketches"))
+    labels = materialize(labels, "op5-labels")
+    # classes that stand at several places or are linked to others; of all others the only place stays
+    linked = labels.select(F.col("id").alias("sid"), "label")
+    heads = classes.where(may_have(docs.sparkSession, linked.select("sid"))(F.col("sid"))).join(linked.hint("merge"), "sid").groupBy("label").agg(F.min("first").alias("head"))
+    near = linked.join(heads, "label").select("sid", "head")
+    same = classes.where("first <> last").join(linked.select("sid").hint("merge"), "sid", "left_anti").select("sid", F.col("first").alias("head"))
+    owner = materialize(near.unionByName(same), "op5-owners")
+    some = every.where(may_have(docs.sparkSession, owner.select("sid"))(F.col("sid")))
+    return some.join(owner.hint("merge"), "sid").where(place != F.col("head")).select("doc_id", "place", "sid", "short")
+
+
+def clean_texts(docs: DataFrame) -> DataFrame:
     """Rows of docs with `text` less its repeated paragraphs, and n_paragraphs, n_removed. A text that loses none stays as it is."""
-    gone = materialize(removals(docs, min_words).distinct(), "op5-removals")
-    words = lambda x: F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda y: y != "")
-    counted = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.size(words(x)) >= min_words)).cast("long")
-    docs = docs.drop("n_paragraphs", "n_removed").withColumn("n_paragraphs", counted)
-    return without_lines(docs, gone).withColumn("n_removed", F.col("_gone").cast("long")).drop("_gone")
-
+    gone = materialize(removals(docs).distinct(), "op5-removals")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_paragraphs", "n_removed")])
+    key, places = fresh("_doc", docs.columns), fresh("_places", docs.columns)
+    # a text changes only where a paragraph that is not short goes
+    of_doc = gone.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("place", "sid", "short")).alias(places)).where(F.exists(places, lambda x: ~x["short"]))
+    of_doc = materialize(of_doc, "op5-of-doc")
+    flag = may_have(docs.sparkSession, of_doc.select(key))(F.col("doc_id"))
+    touched = docs.where(flag).join(of_doc.hint("merge"), F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
+    both = docs.where(~flag).withColumn(places, F.lit(None).cast(touched.schema[places].dataType)).unionByName(touched)
+    at, last = docs.columns.index("text"), len(docs.columns)
 
-def paragraph_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, p = _of_batch(batch.column(at).cast(pa.string()))
+            begin = np.searchsorted(p.doc, np.arange(batch.num_rows + 1))
+            texts, removed = batch.column(at).to_pylist(), np.zeros(batch.num_rows, dtype=np.int64)
+            for i, some in enumerate(batch.column(last).to_pylist()):
+                if some:
+                    texts[i], removed[i] = _without(raw, p, int(begin[i]), int(begin[i + 1]), some, texts[i])
+            columns = [*batch.columns[:last], pa.array(np.diff(begin)), pa.array(removed)]
+            columns[at] = pa.array(texts, batch.column(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:last], "n_paragraphs", "n_removed"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_paragraphs", T.LongType()), T.StructField("n_removed", T.LongType())])
+    return both.mapInArrow(by_slices(run), schema)
+
+
+def _without(raw: np.ndarray, p: Paragraphs, begin: int, end: int, some: list[dict], text: str) -> tuple[str, int]:
+    """A text less the paragraphs that go, and their number."""
+    found = [(begin + x["place"], x["short"]) for x in some if begin + x["place"] < end and p.sid[begin + x["place"]] == x["sid"]]
+    gone, short = {k for k, s in found if not s}, {k for k, s in found if s}
+    # short ones beside one that goes follow it, one after another
+    for step in (1, -1):
+        for k in sorted(short)[::step]:
+            if k - step in gone:
+                gone.add(k)
+    if not gone:
+        return text, 0
+    keep = np.ones(int(p.stop[end - 1]) - int(p.start[begin]), dtype=bool)
+    base = int(p.start[begin])
+    for k in gone:
+        keep[p.start[k] - base : p.stop[k] - base] = False
+    head = text[: len(text) - len(text.lstrip("\t\n\x0b\x0c\r "))]
+    return head + raw[base : int(p.stop[end - 1])][keep].tobytes().decode(), len(gone)
+
+
+def paragraph_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_paragraphs, n_removed, kept_bytes, kept_sha256 of what is left of each text."""
-    out = clean_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), min_words)
+    out = clean_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     kept = F.col("text").cast("binary")
     return out.select("doc_id", "n_paragraphs", "n_removed", F.octet_length(kept).cast("long").alias("kept_bytes"), F.sha2(kept, 256).alias("kept_sha256"))
 

@@ -45,11 +45,12 @@ def _row(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(row, dtype=np.uint64)
 
 
-def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, and the bounds of each document's words, for documents that lie end to end in raw."""
+def words_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first and last byte of every word, and the bounds of each document's words, for documents that lie end to end in raw."""
     n = len(raw)
     if n == 0:
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(off), dtype=np.int64)
+        none = np.zeros(0, dtype=np.int64)
+        return none.view(np.uint64), none, none, np.zeros(len(off), dtype=np.int64)
     word = ~SPACE[raw]
     edge = np.zeros(n + 1, dtype=bool)
     edge[off] = True
@@ -61,7 +62,13 @@ def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     up, down = _powers(n)
     sums = np.cumsum(BYTES[LOWER[raw]] * up, dtype=np.uint64)
     hashes = (sums[ends] - np.where(starts > 0, sums[np.maximum(starts, 1) - 1], np.uint64(0))) * down[starts]
-    return mix64(hashes + (ends - starts).astype(np.uint64)), np.searchsorted(starts, off)
+    return mix64(hashes + (ends - starts).astype(np.uint64)), starts, ends, np.searchsorted(starts, off)
+
+
+def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, and the bounds of each document's words."""
+    hashes, _, _, bounds = words_of(raw, off)
+    return hashes, bounds
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
