@@ -5,14 +5,16 @@
    sends its distinct fingerprints, as sorted and compressed blocks, to where equal ones meet; what stands in several documents comes back.
 3. For such fingerprints a group sends the bytes that their strings cover (50 to 84), each distinct piece once with the smallest doc_id that has it. Pieces are dealt by
    ranges of fingerprints and searched in chunks; in each chunk the common-prefix interval tree of an enhanced suffix array (see repeats) gives the maximal repeats with all their
-   occurrences, and so the smallest doc_id of each.
-4. Repeats that stand in a smaller document come back to their group; with the pieces that a group holds several times itself they cover the bytes to remove.
+   occurrences, and so the smallest doc_id of each. Pieces of equal bytes are one leaf of the tree.
+4. Repeats that stand in a smaller document come back to their group; with the pieces that a group holds several times itself (compared byte by byte) they cover the bytes to remove.
 
 Scale: nothing but texts, fingerprints (a quarter of a byte for each byte of text) and pieces of repeated places is shuffled; equal pieces meet as one row for each group, so that a
-passage that a third of all documents share doesn't land in one task. Groups and buckets have a bounded size, their number grows with the input.
+passage that a third of all documents share doesn't land in one task. Groups and buckets have a bounded size, their number grows with the input; blocks between them are sent
+only where they hold something, so there are never more than fingerprints.
 
 Null or empty text: nothing to remove. Null doc_id: nothing is removed there, and it is no one's smaller document. Repeated rows of one doc_id don't remove from each
-other. Strings are judged on the input, overlaps count, and matches never cross documents. Other columns are not read.
+other. Strings are judged on the input, overlaps count, and matches never cross documents. Ties can't arise: only whether a smaller doc_id has a string matters. A very long text is a group
+of its own size. An empty table gives an empty one. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import mix64, table, utf8
+from tallgrass.llm.common import mix64, release, table, utf8
 from tallgrass.llm.repeats import LENGTH, Selected, maximal_repeats
 
-GROUP_BYTES, BUCKET_BYTES, CHUNK_BYTES, BITS = 6 << 20, 16 << 20, 1 << 20, 48
+GROUP_BYTES, BUCKET_BYTES, CHUNK_BYTES, BITS, CHOICES = 6 << 20, 12 << 20, 1 << 20, 48, 12
 _FINGERPRINTS = "bucket int, g int, n_single int, single binary, n_several int, several binary"
 _PIECES = "bucket int, g int, rows int, packed binary"
 _FOUND = "g int, key long, doc_id long, start int, stop int"
@@ -67,6 +69,17 @@ def unpack(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
+def bucket_keys(spark: SparkSession, buckets: int) -> list[int]:
+    """A number for each bucket such that Spark's hash deals them evenly over as many tasks: of CHOICES numbers, the one whose task has fewest."""
+    hashed = [r.t for r in spark.range(CHOICES * buckets).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(buckets)).alias("t")).collect()]
+    load, keys = [0] * buckets, []
+    for b in range(buckets):
+        some = range(CHOICES * b, CHOICES * (b + 1))
+        keys.append(min(some, key=lambda k: load[hashed[k]]))
+        load[hashed[keys[-1]]] += 1
+    return keys
+
+
 def _cuts(sorted_hashes: np.ndarray, buckets: int) -> list[int]:
     """Buckets are ranges of hashes, so each is a slice."""
     edges = [(b << BITS) // buckets for b in range(1, buckets)]
@@ -78,7 +91,9 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, dtype=np.int64)
 
 
-def _fingerprints(buckets: int):
+def _fingerprints(keys: list[int]):
+    buckets = len(keys)
+
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         _, _, ids, chosen, _ = _select(rows)
         order = np.lexsort([ids[chosen.doc], chosen.hash])
@@ -94,7 +109,7 @@ def _fingerprints(buckets: int):
             more.append(h[s:e][several[s:e]])
         # no rows for empty slices: with many buckets there are no more rows than fingerprints
         full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-        columns = [pa.array(full, pa.int32()), pa.array([key[0].as_py()] * len(full), pa.int32())]
+        columns = [pa.array([keys[b] for b in full], pa.int32()), pa.array([key[0].as_py()] * len(full), pa.int32())]
         for part in (one, more):
             columns += [pa.array([len(part[b]) for b in full], pa.int32()), pa.array([pack(part[b]) for b in full], pa.binary())]
         return pa.table(columns, names=["bucket", "g", "n_single", "single", "n_several", "several"])
@@ -120,7 +135,9 @@ def _common(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     return pa.table([pa.array(groups, pa.int32()), pa.array([len(x) for x in out], pa.int32()), pa.array([pack(x) for x in out], pa.binary())], names=["g", "n", "common"])
 
 
-def _pieces(buckets: int):
+def _pieces(keys: list[int]):
+    buckets = len(keys)
+
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table, common: pa.Table) -> pa.Table:
         """The bytes around each common fingerprint, every distinct piece once with the smallest doc_id that has it, compressed for each bucket."""
         raw, _, ids, chosen, _ = _select(rows)
@@ -142,7 +159,7 @@ def _pieces(buckets: int):
         full = [b for b in range(buckets) if packed[b]]
         n = np.diff(cuts)
         # the number of rows and the size before compression, in one
-        return pa.table([pa.array(full, pa.int32()), pa.array([key[0].as_py()] * len(full), pa.int32()), pa.array([int(n[b]) for b in full], pa.int32()), pa.array([_size(last, first, cuts, b).to_bytes(8, "little") + packed[b] for b in full], pa.binary())], names=["bucket", "g", "rows", "packed"])
+        return pa.table([pa.array([keys[b] for b in full], pa.int32()), pa.array([key[0].as_py()] * len(full), pa.int32()), pa.array([int(n[b]) for b in full], pa.int32()), pa.array([_size(last, first, cuts, b).to_bytes(8, "little") + packed[b] for b in full], pa.binary())], names=["bucket", "g", "rows", "packed"])
 
     return run
 
@@ -171,32 +188,46 @@ def _search(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         if size[cut - 1] - (size[begin - 1] if begin else 0) >= CHUNK_BYTES or cut == len(fp):
             out.append(_repeats(every.take(pa.array(order[begin:cut]))))
             begin = cut
-    return pa.concat_tables(out)
+    del every, parts
+    try:
+        return pa.concat_tables(out)
+    finally:
+        release()
 
 
 def _repeats(chunk: pa.Table) -> pa.Table:
-    """Places in pieces that a smaller document holds as well."""
-    data, off = (lambda c: (np.frombuffer(c.buffers()[2] or b"", dtype=np.uint8), np.frombuffer(c.buffers()[1], dtype=np.int64, count=len(c) + 1 + c.offset)[c.offset :]))(chunk.column("piece").combine_chunks().cast(pa.large_binary()))
-    doc = chunk.column("doc_id").to_numpy()
-    fp = chunk.column("fp").to_numpy()
-    # a fingerprint whose pieces are all of one document has no repeat
-    starts_of = _runs(fp)
-    mixed = np.minimum.reduceat(doc, starts_of) != np.maximum.reduceat(doc, starts_of)
-    use = np.repeat(mixed, np.diff(np.append(starts_of, len(fp))))
-    row = np.flatnonzero(use)
-    counts = off[row + 1] - off[row] - LENGTH + 1
-    owner = np.repeat(row, counts)
+    """Places in pieces that a smaller document holds as well.
+
+    Pieces of equal bytes are one leaf of the tree, with the copies as its occurrences. All rows of a leaf but those of its smallest document repeat it in whole; what its smallest document
+    shares with other leaves the intervals tell. A leaf that is alone under its fingerprint has no interval above it, as equal strings have equal fingerprints.
+    """
+    doc, fp = chunk.column("doc_id").to_numpy(), chunk.column("fp").to_numpy()
+    encoded = chunk.column("piece").combine_chunks().dictionary_encode()
+    leaf, texts = encoded.indices.to_numpy().astype(np.int64), encoded.dictionary.cast(pa.large_binary())
+    order = np.lexsort([doc, leaf])
+    head = order[_runs(leaf[order])]  # of each leaf, the row of its smallest document
+    low, fp_of = doc[head], fp[head]
+    off = np.frombuffer(texts.buffers()[1], dtype=np.int64, count=len(texts) + 1 + texts.offset)[texts.offset :] if len(texts) else np.zeros(1, dtype=np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+    again = np.flatnonzero(doc > low[leaf])
+    out: dict[str, list] = {"row": [again], "start": [np.zeros(len(again), dtype=np.int64)], "stop": [off[leaf[again] + 1] - off[leaf[again]]]}
+    # leaves of fingerprints that have several
+    by = np.argsort(fp_of, kind="stable")
+    runs = _runs(fp_of[by])
+    many = np.sort(by[np.repeat(np.diff(np.append(runs, len(by))) > 1, np.diff(np.append(runs, len(by))))]) if len(by) else by
+    counts = off[many + 1] - off[many] - LENGTH + 1
+    owner = np.repeat(many, counts)
     starts = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + off[owner]
     left = np.where(starts == off[owner], -1 - np.arange(len(starts)), data[np.maximum(starts, 1) - 1].astype(np.int64)) if len(starts) else starts
-    out: dict[str, list] = {"row": [], "start": [], "stop": []}
     for depth, found in maximal_repeats(data, starts, off[owner + 1] - starts, left):
-        docs = doc[owner[found]]
-        later = found[docs > docs.min()]
-        out["row"].append(owner[later])
-        at = starts[later] - off[owner[later]]
-        out["start"].append(at)
-        out["stop"].append(at + depth)
-    rows, start, stop = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in out.values())
+        lows = low[owner[found]]
+        later = found[lows > lows.min()]
+        if len(later):
+            out["row"].append(head[owner[later]])
+            at = starts[later] - off[owner[later]]
+            out["start"].append(at)
+            out["stop"].append(at + depth)
+    rows, start, stop = (np.concatenate(x) for x in out.values())
     # touching and overlapping places of one piece become one
     order = np.lexsort([start, rows])
     rows, start, stop = rows[order], start[order], stop[order]
@@ -211,6 +242,18 @@ def _repeats(chunk: pa.Table) -> pa.Table:
     return pa.table([*taken.columns, pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["g", "key", "doc_id", "start", "stop"])
 
 
+def _differ(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of the byte ranges of `size` from a and from b are not equal."""
+    out = np.zeros(len(a), dtype=bool)
+    for s in range(0, len(a), 1 << 14):
+        n = size[s : s + (1 << 14)]
+        ends = np.cumsum(n)
+        step = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
+        other = raw[np.repeat(a[s : s + len(n)], n) + step] != raw[np.repeat(b[s : s + len(n)], n) + step]
+        out[s : s + len(n)] = np.logical_or.reduceat(other, ends - n)
+    return out
+
+
 def _covered(rows: pa.Table, found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, offsets, and which bytes go."""
     raw, off, ids, chosen, known = _select(rows)
@@ -219,8 +262,12 @@ def _covered(rows: pa.Table, found: pa.Table) -> tuple[np.ndarray, np.ndarray, n
     # pieces that a smaller document of this group holds too
     order = np.lexsort([d, chosen.key])
     starts = _runs(chosen.key[order])
-    low = np.repeat(d[order][starts], np.diff(np.append(starts, len(order)))) if len(starts) else d
-    again = order[d[order] > low] if len(order) else order
+    first = np.repeat(order[starts], np.diff(np.append(starts, len(order)))) if len(starts) else order
+    later = d[order] > d[first]
+    again, first = order[later], first[later]
+    # the name of a piece proposes, its bytes decide
+    if len(again):
+        again = again[~_differ(raw, chosen.first[again], chosen.first[first], chosen.last[again] - chosen.first[again] + LENGTH)]
     np.add.at(edge, chosen.first[again], 1)
     np.add.at(edge, chosen.last[again] + LENGTH, -1)
     # places that came back belong to every row of their document with that piece
@@ -266,11 +313,11 @@ def _dealt(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups, buckets = max(1, -(-size // GROUP_BYTES)), max(1, -(-size // BUCKET_BYTES))
     texts = docs.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(groups)).cast("int").alias("g"), "doc_id", "text").repartition("g")
-    # packed blocks are small for the work that they hold, so the number of tasks follows the buckets, not the bytes
-    spread = 2 * buckets
-    common = texts.groupBy("g").applyInArrow(_fingerprints(buckets), _FINGERPRINTS).repartition(spread, "bucket").groupBy("bucket").applyInArrow(_common, "g int, n int, common binary")
-    pieces = texts.groupBy("g").cogroup(common.groupBy("g")).applyInArrow(_pieces(buckets), _PIECES)
-    found = pieces.repartition(spread, "bucket").groupBy("bucket").applyInArrow(_search, _FOUND)
+    # packed blocks are small for the work that they hold, so there are as many tasks as buckets, each with one or two
+    keys = bucket_keys(docs.sparkSession, buckets)
+    common = texts.groupBy("g").applyInArrow(_fingerprints(keys), _FINGERPRINTS).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_common, "g int, n int, common binary")
+    pieces = texts.groupBy("g").cogroup(common.groupBy("g")).applyInArrow(_pieces(keys), _PIECES)
+    found = pieces.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_search, _FOUND)
     return texts, found
 
 

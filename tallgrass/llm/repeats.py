@@ -31,21 +31,16 @@ def _gram_hashes(raw: np.ndarray) -> np.ndarray:
 
 
 def _leftmost_min(h: np.ndarray, width: int) -> np.ndarray:
-    """For each window of `width` places, the place of its smallest value, the leftmost of equals."""
-    at = np.arange(len(h))
-    best, step = h, 1
-    # windows of doubling width, then two that overlap
+    """For each window of `width` places, the place of the smallest upper half of a hash, the leftmost of equals."""
+    best = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+    step = 1
+    # windows of doubling width, then two that overlap; the place decides between equals
     while step * 2 <= width:
-        left, right = best[:-step], best[step:]
-        take = right < left
-        at = np.where(take, at[step:], at[:-step])
-        best = np.where(take, right, left)
-        step *= 2
+        best, step = np.minimum(best[:-step], best[step:]), step * 2
     rest = width - step
     if rest:
-        left, right = best[:-rest], best[rest:]
-        at = np.where(right < left, at[rest:], at[:-rest])
-    return at
+        best = np.minimum(best[:-rest], best[rest:])
+    return (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 class Selected:
@@ -68,20 +63,22 @@ class Selected:
             return none, none.view(np.uint64), none, none, none, none.view(np.uint64)
         hashes = _gram_hashes(raw)
         at = _leftmost_min(hashes, WINDOW)
-        starts = np.arange(len(at))
-        docs = np.searchsorted(off, starts, side="right") - 1
-        inside = starts + LENGTH <= off[docs + 1]
-        starts, at, docs = starts[inside], at[inside], docs[inside]
-        new = np.ones(len(at), dtype=bool)
-        new[1:] = (at[1:] != at[:-1]) | (docs[1:] != docs[:-1])
-        cut = np.flatnonzero(new)
-        first = starts[cut]
-        last = starts[np.append(cut[1:], len(starts)) - 1]
-        place = at[cut]
+        # strings that begin in a document's last bytes would reach into the next one
+        inside = np.ones(len(at) + 1, dtype=bool)
+        inside[-1] = False
+        over = (off[1:, None] - np.arange(1, LENGTH)).reshape(-1)
+        inside[over[(over >= 0) & (over < len(at))]] = False
+        change = at[1:] != at[:-1]
+        begins, ends = inside[:-1].copy(), inside[:-1].copy()
+        begins[1:] &= change | ~inside[:-2]
+        ends &= np.append(change, True) | ~inside[1:]
+        # a document shorter than LENGTH leaves no gap before the next one, but nothing of its own either
+        first, last = np.flatnonzero(begins), np.flatnonzero(ends)
+        place = at[first]
         up, down = _powers(len(raw))
         sums = np.concatenate([[np.uint64(0)], np.cumsum(BYTES[raw] * up, dtype=np.uint64)])
         key = mix64((sums[last + LENGTH] - sums[first]) * down[first] + mix64(((last - first) * 64 + (place - first)).astype(np.uint64) + _A))
-        return place + base, hashes[place], docs[cut] + doc, first + base, last + base, key
+        return place + base, hashes[place], np.searchsorted(off, first, side="right") - 1 + doc, first + base, last + base, key
 
 
 def suffix_array(data: np.ndarray, starts: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
