@@ -1,7 +1,7 @@
 """GIF89a: an LZW codec, a container reader and writer, and a renderer with palettes, disposal and transparency.
 
-Everything works on numpy arrays. Frames of one size that hold arbitrary samples are written and read in bulk: such frames carry literal codes between
-clear codes, so all of them share one layout. Any other stream goes through the general decoder.
+The codec handles many images of one size in step: each step takes one sample (encoding) or one code (decoding) of every image by numpy operations, with a table of strings for each.
+The reader takes any valid file; images of all files that it is given are decoded together.
 """
 
 from __future__ import annotations
@@ -11,9 +11,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-#: Fixed values of the format: at 8 bits a clear code is 256, the end code 257; 254 literals after a clear keep codes 9 bits wide.
-CLEAR, END, RUN = 256, 257, 254
+#: Fixed values of the format: most codes of a table, most bytes of a block.
+CODES, BLOCK = 4096, 255
 GRAY = np.repeat(np.arange(256, dtype=np.uint8), 3).reshape(256, 3)
+#: Images that are handled in step.
+STEP = 2048
 
 
 @dataclass
@@ -38,196 +40,194 @@ class Gif:
     frames: list[Frame] = field(default_factory=list)
 
 
-def lzw_encode(samples: np.ndarray, min_code: int = 8) -> bytes:
-    """Compressing encoder for one image."""
-    clear, end = 1 << min_code, (1 << min_code) + 1
-    codes: list[tuple[int, int]] = []
-    table: dict[bytes, int] = {}
-
-    def reset() -> tuple[int, int]:
-        table.clear()
-        table.update({bytes([i]): i for i in range(clear)})
-        return end + 1, min_code + 1
-
-    nxt, width = reset()
-    codes.append((clear, width))
-    word = b""
-    for value in samples.astype(np.uint8).tobytes():
-        longer = word + bytes([value])
-        if longer in table:
-            word = longer
-            continue
-        codes.append((table[word], width))
-        if nxt < 4096:
-            table[longer] = nxt
-            if nxt == 1 << width and width < 12:
+def _schedule(min_code: int, codes: int) -> tuple[list[int], list[int]]:
+    """(widths, bit offsets) of so many codes of a stream. Each code but the first after a clear code adds a string, so that widths and clear codes stand at the same places in every stream."""
+    widths, offsets, at = [], [], 0
+    size, width = (1 << min_code) + 2, min_code + 1
+    fresh = True  # a clear code comes
+    for _ in range(codes):
+        widths.append(width)
+        offsets.append(at)
+        at += width
+        if fresh:
+            size, width, fresh = (1 << min_code) + 2, min_code + 1, False
+        elif size < CODES:
+            if size == 1 << width and width < 12:
                 width += 1
-            nxt += 1
+            size += 1
         else:
-            codes.append((clear, width))
-            nxt, width = reset()
-        word = bytes([value])
-    if word:
-        codes.append((table[word], width))
-        if nxt == 1 << width and width < 12:
-            width += 1
-    codes.append((end, width))
-    out, bits, have = bytearray(), 0, 0
-    for code, w in codes:
-        bits |= code << have
-        have += w
-        while have >= 8:
-            out.append(bits & 255)
-            bits >>= 8
-            have -= 8
-    if have:
-        out.append(bits & 255)
-    return bytes(out)
-
-
-def lzw_decode(stream: bytes, min_code: int, size: int) -> np.ndarray:
-    """Samples of one image from any valid stream; stops at the end code, at `size` samples or where the stream ends."""
+            fresh = True
+    return widths, offsets
+
+
+def lzw_encode(samples: np.ndarray, min_code: int = 8) -> list[bytes]:
+    """The LZW code streams of images (one in each row of samples, all below 1 << min_code)."""
+    return [x for s in range(0, len(samples), STEP) for x in _encode(np.ascontiguousarray(samples[s : s + STEP]), min_code)]
+
+
+def _encode(samples: np.ndarray, min_code: int) -> list[bytes]:
+    count, n = samples.shape
+    clear, end = 1 << min_code, (1 << min_code) + 1
+    room = 1024
+    while room < 3 * min(n, CODES):
+        room *= 2
+    # strings by (code of all but the last sample, last sample), in open tables; the hash is spread over a row
+    keys, strings = np.full((count, room), -1, dtype=np.int32), np.empty((count, room), dtype=np.int16)
+    rows = np.arange(count)
+    columns = samples.T.astype(np.int32)
+    prefix, size = columns[0].copy(), end + 1
+    sizes, used = np.full(count, size), np.ones(count, dtype=np.int64)
+    codes = np.zeros((count, n + n // 3000 + 4), dtype=np.uint16)
+    codes[:, 0] = clear
+    for t in range(1, n):
+        s = columns[t]
+        key = prefix << 8 | s
+        slot = (key * np.int32(40503) >> 5) & (room - 1)
+        found = keys[rows, slot]
+        other = np.flatnonzero((found != key) & (found != -1))
+        while len(other):
+            slot[other] = (slot[other] + 1) & (room - 1)
+            found[other] = keys[other, slot[other]]
+            other = other[(found[other] != key[other]) & (found[other] != -1)]
+        new = np.flatnonzero(found != key)
+        following = strings[rows, slot].astype(np.int32)
+        following[new] = s[new]
+        codes[new, used[new]] = prefix[new]
+        used[new] += 1
+        full = new[sizes[new] == CODES]
+        if len(full):
+            codes[full, used[full]] = clear
+            used[full] += 1
+            keys[full] = -1
+            sizes[full] = end + 1
+            new = new[~np.isin(new, full)]
+        keys[new, slot[new]] = key[new]
+        strings[new, slot[new]] = sizes[new]
+        sizes[new] += 1
+        prefix = following
+    codes[rows, used] = prefix
+    codes[rows, used + 1] = end
+    used += 2
+    widths, offsets = _schedule(min_code, int(used.max()))
+    lengths = (np.array(offsets)[used - 1] + np.array(widths)[used - 1] + 7) // 8
+    out = np.zeros((count, offsets[-1] // 8 + 4), dtype=np.uint8)
+    for j, at in enumerate(offsets):
+        bits = codes[:, j].astype(np.uint32) << np.uint32(at & 7)
+        k = at >> 3
+        out[:, k] |= (bits & 255).astype(np.uint8)
+        out[:, k + 1] |= (bits >> np.uint32(8) & 255).astype(np.uint8)
+        out[:, k + 2] |= (bits >> np.uint32(16)).astype(np.uint8)
+    return [out[i, :m].tobytes() for i, m in enumerate(lengths.tolist())]
+
+
+def lzw_decode(streams: list[bytes], min_code: int, size: int) -> np.ndarray:
+    """Samples of images of one size, from any valid streams: each stops at its end code, at `size` samples or where it ends (what lacks is 0)."""
+    parts = [_decode(streams[s : s + STEP], min_code, size) for s in range(0, len(streams), STEP)]
+    return np.concatenate(parts) if parts else np.zeros((0, size), dtype=np.uint8)
+
+
+def _decode(streams: list[bytes], min_code: int, n: int) -> np.ndarray:
+    count = len(streams)
+    lengths = np.array([len(s) for s in streams])
+    data = np.zeros((count, int(lengths.max(initial=0)) + 3), dtype=np.int32)
+    for i, s in enumerate(streams):
+        data[i, : len(s)] = np.frombuffer(s, dtype=np.uint8)
+    out = np.zeros((count, n), dtype=np.uint8)
     clear, end = 1 << min_code, (1 << min_code) + 1
-    out = bytearray()
-    table = [bytes([i]) for i in range(clear)] + [b"", b""]
-    width, bits, have, before = min_code + 1, 0, 0, b""
-    for byte in stream:
-        bits |= byte << have
-        have += 8
-        while have >= width:
-            code = bits & ((1 << width) - 1)
-            bits >>= width
-            have -= width
-            if code == clear:
-                del table[end + 1 :]
-                width, before = min_code + 1, b""
-                continue
-            if code == end:
-                return np.frombuffer(bytes(out[:size]), dtype=np.uint8)
-            if code < len(table):
-                entry = table[code]
-            elif before and code == len(table):
-                entry = before + before[:1]
-            else:
-                raise ValueError(f"code {code} is not in the table")
-            out += entry
-            if before and len(table) < 4096:
-                table.append(before + entry[:1])
-                if len(table) == 1 << width and width < 12:
-                    width += 1
-            before = entry
-            if len(out) >= size:
-                return np.frombuffer(bytes(out[:size]), dtype=np.uint8)
-    return np.frombuffer(bytes(out[:size]), dtype=np.uint8)
-
-
-def literal_codes(samples: np.ndarray) -> np.ndarray:
-    """Codes of a bulk of images (one in each row): a clear code before every RUN literals, the end code last."""
-    count, size = samples.shape
-    starts = range(0, size, RUN)
-    codes = np.empty((count, size + len(starts) + 1), dtype=np.uint16)
-    at = 0
-    for s in starts:
-        piece = samples[:, s : s + RUN]
-        codes[:, at] = CLEAR
-        codes[:, at + 1 : at + 1 + piece.shape[1]] = piece
-        at += 1 + piece.shape[1]
-    codes[:, at] = END
-    return codes
-
-
-def pack9(codes: np.ndarray) -> np.ndarray:
-    """9-bit codes of each row, least significant bit first, as bytes: eight codes fill nine bytes."""
-    count, n = codes.shape
-    c = np.zeros((count, -(-n // 8), 8), dtype=np.uint16)
-    c.reshape(count, -1)[:, :n] = codes
-    out = np.empty((count, c.shape[1], 9), dtype=np.uint8)
-    out[:, :, 0] = c[:, :, 0] & 255
-    for k in range(1, 8):
-        out[:, :, k] = ((c[:, :, k - 1] >> (9 - k)) | (c[:, :, k] << k)) & 255
-    out[:, :, 8] = c[:, :, 7] >> 1
-    return out.reshape(count, -1)[:, : -(-9 * n // 8)]
-
-
-def unpack9(data: np.ndarray) -> np.ndarray:
-    """The inverse of pack9, with as many codes as the bytes hold in full."""
-    count, size = data.shape
-    n = size * 8 // 9
-    b = np.zeros((count, -(-size // 9), 9), dtype=np.uint16)
-    b.reshape(count, -1)[:, :size] = data
-    out = np.empty((count, b.shape[1], 8), dtype=np.uint16)
-    for k in range(8):
-        out[:, :, k] = ((b[:, :, k] >> k) | (b[:, :, k + 1] << (8 - k))) & 511
-    return out.reshape(count, -1)[:, :n]
-
-
-def decode_literals(data: np.ndarray, size: int) -> np.ndarray | None:
-    """Samples of a bulk of code streams (one in each row) of 8-bit images. None where one of them is not literals between clear codes: then lzw_decode applies."""
-    codes = unpack9(data)
-    runs = -(-size // RUN)
-    n = size + runs + 1
-    if codes.shape[1] < n:
-        return None
-    codes = codes[:, :n]
-    at = np.minimum(np.arange(runs + 1) * (RUN + 1), n - 1)
-    want = np.full(runs + 1, CLEAR)
-    want[-1] = END
-    if not (codes[:, at] == want).all():
-        return None
-    literal = np.ones(n, dtype=bool)
-    literal[at] = False
-    samples = codes[:, literal]
-    return samples.astype(np.uint8) if samples.size == 0 or samples.max() < 256 else None
-
-
-def _sub_blocks(size: int) -> list[tuple[int, int]]:
-    return [(s, min(255, size - s)) for s in range(0, size, 255)]
-
-
-def _frame_head(width: int, height: int, delay: int, disposal: int) -> bytes:
-    control = b"\x21\xf9\x04" + struct.pack("<BHB", disposal << 2, delay, 0) + b"\x00"
-    return control + b"\x2c" + struct.pack("<HHHHB", 0, 0, width, height, 0) + b"\x08"
-
-
-def file_head(width: int, height: int, palette: np.ndarray = GRAY) -> bytes:
-    """Signature, screen and a global palette of 256 colours."""
-    return b"GIF89a" + struct.pack("<HHBBB", width, height, 0xF7, 0, 0) + palette.astype(np.uint8).tobytes()
-
-
-def write_bulk(samples: np.ndarray, width: int, height: int, delay: int = 4, disposal: int = 1) -> np.ndarray:
-    """Frames for rows of width * height samples, as rows of bytes that go between file_head() and a trailer."""
-    data = pack9(literal_codes(samples))
-    head = np.frombuffer(_frame_head(width, height, delay, disposal), dtype=np.uint8)
-    blocks = _sub_blocks(data.shape[1])
-    out = np.empty((len(samples), len(head) + data.shape[1] + len(blocks) + 1), dtype=np.uint8)
-    out[:, : len(head)] = head
-    at = len(head)
-    for s, n in blocks:
-        out[:, at] = n
-        out[:, at + 1 : at + 1 + n] = data[:, s : s + n]
-        at += 1 + n
-    out[:, at] = 0
+    # a string is a range of the samples that are out already
+    begin, length = np.zeros((count, CODES), dtype=np.int32), np.zeros((count, CODES), dtype=np.int32)
+    f = np.arange(count) if n else np.zeros(0, dtype=np.int64)
+    bit, width, size = (np.full(count, v) for v in (0, min_code + 1, end + 1))
+    at, before, last = (np.zeros(count, dtype=np.int64) for _ in range(3))  # samples so far; start and length of the string before
+    while len(f):
+        f = f[bit[f] + width[f] <= 8 * lengths[f]]
+        b, w = bit[f], width[f]
+        k = b >> 3
+        code = ((data[f, k] | data[f, k + 1] << 8 | data[f, k + 2] << 16) >> (b & 7)) & ((1 << w) - 1)
+        bit[f] = b + w
+        special = (code == clear) | (code == end)
+        if special.any():
+            again = f[code == clear]
+            width[again], size[again], last[again] = min_code + 1, end + 1, 0
+            go_on = code != end
+            done = ~special
+            stay, f, code = f[go_on], f[done], code[done]
+        else:
+            stay = f
+        if len(f):
+            pos, had, table = at[f], last[f], size[f]
+            literal, known = code < clear, code < table
+            if not (known | ((code == table) & (had > 0))).all():
+                raise ValueError("a code that is not in the table")
+            source = np.where(known, begin[f, code], before[f])
+            whole = np.where(literal, 1, np.where(known, length[f, code], had + 1))
+            size_now = np.minimum(whole, n - pos)
+            one = np.flatnonzero(literal)
+            out[f[one], pos[one]] = code[one]
+            many = np.flatnonzero(~literal)
+            if len(many):
+                m = size_now[many]
+                ends = np.cumsum(m)
+                step = np.arange(int(ends[-1])) - np.repeat(ends - m, m)
+                row = np.repeat(f[many], m)
+                out[row, np.repeat(pos[many], m) + step] = out[row, np.repeat(source[many], m) + step]
+                # a string that is just being made ends with its own first sample
+                own = many[(~known & (whole == size_now))[many]]
+                out[f[own], pos[own] + whole[own] - 1] = out[f[own], pos[own]]
+            add = np.flatnonzero((had > 0) & (table < CODES))
+            g = f[add]
+            begin[g, table[add]], length[g, table[add]] = before[g], had[add] + 1
+            size[g] += 1
+            wider = g[(size[g] == 1 << width[g]) & (width[g] < 12)]
+            width[wider] += 1
+            before[f], last[f] = pos, whole
+            at[f] = pos + size_now
+        f = stay[at[stay] < n]
     return out
 
 
-def write(gif: Gif, compress: bool = True) -> bytes:
-    """A whole file. Palettes have 256 colours; compress chooses LZW strings over bare literals."""
-    out = bytearray(b"GIF89a" + struct.pack("<HHBBB", gif.width, gif.height, 0xF7 if gif.palette is not None else 0x70, gif.background, 0))
-    if gif.palette is not None:
-        out += gif.palette.astype(np.uint8).tobytes()
-    for f in gif.frames:
-        h, w = f.indices.shape
-        out += b"\x21\xf9\x04" + struct.pack("<BHB", f.disposal << 2 | (f.transparent is not None), f.delay, f.transparent or 0) + b"\x00"
-        out += b"\x2c" + struct.pack("<HHHHB", f.left, f.top, w, h, 0x87 if f.palette is not None else 0)
-        if f.palette is not None:
-            out += f.palette.astype(np.uint8).tobytes()
-        flat = f.indices.reshape(1, -1).astype(np.uint8)
-        data = lzw_encode(flat[0]) if compress else pack9(literal_codes(flat)).tobytes()
-        out += b"\x08"
-        for s, n in _sub_blocks(len(data)):
-            out += bytes([n]) + data[s : s + n]
-        out += b"\x00"
-    return bytes(out + b"\x3b")
+def _size_bits(colours: int) -> int:
+    """The format's code for a palette of 2, 4, ... 256 colours."""
+    return (colours - 1).bit_length() - 1
+
+
+def write(gif: Gif) -> bytes:
+    """A whole file."""
+    return write_many([gif])[0]
+
+
+def write_many(gifs: list[Gif]) -> list[bytes]:
+    """Files; images of equal size and palette depth are encoded together."""
+    jobs: dict[tuple, list[Frame]] = {}
+    for gif in gifs:
+        for f in gif.frames:
+            jobs.setdefault((_depth(gif, f), f.indices.size), []).append(f)
+    streams: dict[int, bytes] = {}
+    for (depth, _), frames in jobs.items():
+        streams |= zip(map(id, frames), lzw_encode(np.stack([f.indices.reshape(-1) for f in frames]).astype(np.uint8), depth), strict=True)
+    out = []
+    for gif in gifs:
+        flags = 0x70 if gif.palette is None else 0xF0 | _size_bits(len(gif.palette))
+        parts = [b"GIF89a", struct.pack("<HHBBB", gif.width, gif.height, flags, gif.background, 0)]
+        if gif.palette is not None:
+            parts.append(gif.palette.astype(np.uint8).tobytes())
+        for f in gif.frames:
+            h, w = f.indices.shape
+            parts.append(b"\x21\xf9\x04" + struct.pack("<BHB", f.disposal << 2 | (f.transparent is not None), f.delay, f.transparent or 0) + b"\x00")
+            parts.append(b"\x2c" + struct.pack("<HHHHB", f.left, f.top, w, h, 0 if f.palette is None else 0x80 | _size_bits(len(f.palette))))
+            if f.palette is not None:
+                parts.append(f.palette.astype(np.uint8).tobytes())
+            data = streams[id(f)]
+            parts.append(bytes([_depth(gif, f)]))
+            parts += [bytes([min(BLOCK, len(data) - s)]) + data[s : s + BLOCK] for s in range(0, len(data), BLOCK)]
+            parts.append(b"\x00")
+        out.append(b"".join([*parts, b"\x3b"]))
+    return out
+
+
+def _depth(gif: Gif, f: Frame) -> int:
+    palette = f.palette if f.palette is not None else gif.palette if gif.palette is not None else GRAY
+    return max(2, (len(palette) - 1).bit_length())
 
 
 def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
@@ -240,6 +240,28 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
 
 def read(data: bytes) -> Gif:
     """Any GIF87a or GIF89a file: global and local palettes, control and other extensions, interlaced rows."""
+    return read_many([data])[0]
+
+
+def read_many(files: list[bytes]) -> list[Gif]:
+    """Files; their images are decoded together."""
+    gifs, jobs = [], {}
+    for data in files:
+        gifs.append(_container(data, jobs))
+    for (min_code, size), found in jobs.items():
+        flat = lzw_decode([stream for _, _, stream in found], min_code, size)
+        for image, (frame, interlaced, _) in zip(flat, found, strict=True):
+            h, w = frame.indices.shape
+            image = image.reshape(h, w)
+            if interlaced:
+                order = np.concatenate([np.arange(0, h, 8), np.arange(4, h, 8), np.arange(2, h, 4), np.arange(1, h, 2)])
+                image, rows = np.empty_like(image), image
+                image[order] = rows
+            frame.indices = image
+    return gifs
+
+
+def _container(data: bytes, jobs: dict) -> Gif:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF file")
     width, height, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
@@ -266,15 +288,9 @@ def read(data: bytes) -> Gif:
                 at += 3 * n
             min_code = data[at]
             stream, at = _blocks(data, at + 1)
-            flat = lzw_decode(stream, min_code, w * h)
-            if len(flat) < w * h:
-                flat = np.concatenate([flat, np.zeros(w * h - len(flat), dtype=np.uint8)])
-            image = flat.reshape(h, w)
-            if flags & 0x40:
-                order = np.concatenate([np.arange(0, h, 8), np.arange(4, h, 8), np.arange(2, h, 4), np.arange(1, h, 2)])
-                image, rows = np.empty_like(image), image
-                image[order] = rows
-            gif.frames.append(Frame(image, left, top, control[1], control[0], control[2], own))
+            frame = Frame(np.zeros((h, w), dtype=np.uint8), left, top, control[1], control[0], control[2], own)
+            jobs.setdefault((min_code, w * h), []).append((frame, bool(flags & 0x40), stream))
+            gif.frames.append(frame)
             control = (0, 0, None)
         else:
             raise ValueError(f"unknown block {kind:#x}")
@@ -301,31 +317,3 @@ def render(gif: Gif) -> list[tuple[int, np.ndarray]]:
         elif f.disposal == 3:
             canvas = before
     return shown
-
-
-def read_bulk(data: bytes, width: int, height: int) -> np.ndarray:
-    """The frames of a file as shown, as rows of width * height gray samples. Frames that all have the layout of write_bulk() are decoded together; other files are read and rendered one frame after another."""
-    body = np.frombuffer(data, dtype=np.uint8)
-    head = len(file_head(width, height))
-    if data[: head] == file_head(width, height) and data[-1] == 0x3B:
-        size = width * height
-        stream = -(-9 * (size + -(-size // RUN) + 1) // 8)
-        lead = _frame_head(width, height, 0, 0)
-        blocks = _sub_blocks(stream)
-        length = len(lead) + stream + len(blocks) + 1
-        if (len(body) - head - 1) % length == 0:
-            rows = body[head:-1].reshape(-1, length)
-            fixed, at = {i: v for i, v in enumerate(lead) if i not in (3, 4, 5)}, len(lead)
-            keep = np.zeros(length, dtype=bool)
-            for _, n in blocks:
-                fixed[at] = n
-                keep[at + 1 : at + 1 + n] = True
-                at += 1 + n
-            fixed[at] = 0
-            where = np.array(list(fixed))
-            # whole-canvas frames without transparency: whatever the disposal, each shows its own samples
-            if (rows[:, where] == np.array(list(fixed.values()), dtype=np.uint8)).all() and not (rows[:, 3] & 1).any():
-                samples = decode_literals(rows[:, keep], size)
-                if samples is not None:
-                    return GRAY[:, 0][samples]
-    return np.stack([rgba[:, :, 0].reshape(-1) for _, rgba in render(read(data))])
