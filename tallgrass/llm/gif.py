@@ -15,7 +15,7 @@ import numpy as np
 CODES, BLOCK = 4096, 255
 GRAY = np.repeat(np.arange(256, dtype=np.uint8), 3).reshape(256, 3)
 #: Images that are handled in step.
-STEP = 2048
+STEP = 1024
 
 
 @dataclass
@@ -134,8 +134,9 @@ def _decode(streams: list[bytes], min_code: int, n: int) -> np.ndarray:
         data[i, : len(s)] = np.frombuffer(s, dtype=np.uint8)
     out = np.zeros((count, n), dtype=np.uint8)
     clear, end = 1 << min_code, (1 << min_code) + 1
-    # a string is a range of the samples that are out already
-    begin, length = np.zeros((count, CODES), dtype=np.int32), np.zeros((count, CODES), dtype=np.int32)
+    # a string is a range of the samples that are out already; there are no more than samples
+    room = min(CODES, end + 2 + n)
+    begin, length = np.zeros((count, room), dtype=np.int32), np.zeros((count, room), dtype=np.int32)
     f = np.arange(count) if n else np.zeros(0, dtype=np.int64)
     bit, width, size = (np.full(count, v) for v in (0, min_code + 1, end + 1))
     at, before, last = (np.zeros(count, dtype=np.int64) for _ in range(3))  # samples so far; start and length of the string before
@@ -159,8 +160,9 @@ def _decode(streams: list[bytes], min_code: int, n: int) -> np.ndarray:
             literal, known = code < clear, code < table
             if not (known | ((code == table) & (had > 0))).all():
                 raise ValueError("a code that is not in the table")
-            source = np.where(known, begin[f, code], before[f])
-            whole = np.where(literal, 1, np.where(known, length[f, code], had + 1))
+            at_code = np.minimum(code, room - 1)
+            source = np.where(known, begin[f, at_code], before[f])
+            whole = np.where(literal, 1, np.where(known, length[f, at_code], had + 1))
             size_now = np.minimum(whole, n - pos)
             one = np.flatnonzero(literal)
             out[f[one], pos[one]] = code[one]
