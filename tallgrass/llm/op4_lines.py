@@ -73,10 +73,11 @@ def removals(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
     selected = materialize(fingerprints(docs, long_words), "op4-fingerprints")
     place = F.struct("doc_id", "pos")
-    again = selected.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("fp")
-    around = materialize(selected.join(again, "fp").select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*"), "op4-spans")
-    first = around.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    later = around.join(first, "key").where(F.struct("doc_id", "start") != F.col("first"))
+    # what is aggregated is written first: a join that has nothing to aggregate can split a hot key's rows
+    again = materialize(selected.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("fp"), "op4-again")
+    around = materialize(selected.join(again.hint("merge"), "fp").select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*"), "op4-spans")
+    first = materialize(around.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first")), "op4-first")
+    later = around.join(first.hint("merge"), "key").where(F.struct("doc_id", "start") != F.col("first"))
     return later.select("doc_id", F.explode(F.array_distinct(F.array("start", "stop"))).alias("place")).distinct()
 
 

@@ -9,12 +9,12 @@ Each paragraph of MIN_WORDS words or more gets a MinHash of BANDS x ROWS values
 cluster the first paragraph (by doc_id, then place) stays; all others are removed, with the white space after them. A shorter one goes if it has the shingles of an earlier one and
 stands beside a paragraph that goes: alone it says too little to be a copy.
 
-Scale: texts are read three times by vectors; what is shuffled is a row for each band of each paragraph, aggregated first, then ids of equal paragraphs. A second reading lets out only
-the bands that stand in several paragraphs. Common bands go through hubs and sketches, never through all pairs. Only texts that lose something are joined.
+Scale: texts are read once by vectors into a table of paragraphs with their bands; what is shuffled is a row for each band of each paragraph, aggregated first, then ids of equal
+paragraphs. A second reading of that table lets out only the bands that stand in several paragraphs. Common bands go through hubs and sketches, never through all pairs. Only texts that lose something are joined.
 
 Null or empty text, or none but white space: no paragraphs, nothing removed. Null doc_id: nothing is removed from such rows, and they are no one's first. Repeated rows: equal
 (doc_id, place, content) stay or go together. Ties: the smallest (doc_id, place) stays. Very long texts are a slice of their own, in memory of some 100 bytes for each byte. An empty table
-gives an empty one. clean_texts() keeps all columns but n_paragraphs and n_removed, which give way to its own; its helper column takes a free name.
+gives an empty one. clean_texts() keeps all columns but n_removed, which gives way to its own; helper columns take free names.
 """
 
 from __future__ import annotations
@@ -78,20 +78,19 @@ class Paragraphs:
         # a name for the shingles of each, with their number of times
         self.sid = mix64(np.add.reduceat(mix64(self.values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), self.at[:-1])).view(np.int64) if len(first) else first
 
-    def bands(self) -> tuple[np.ndarray, np.ndarray]:
-        """(keys, sid): a signed key for each band of each paragraph that is long enough. Shingles are hashes, so multiplying by an odd number and folding permutes them afresh."""
-        long = np.flatnonzero(self.size >= MIN_WORDS)
-        if not len(long):
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        keys = []
-        for band in range(BANDS):
-            key = np.full(len(long), np.uint64(band + 1) * np.uint64(0x1E3779B97F4A7C15))
+    def bands(self) -> pa.Array:
+        """For each paragraph that is long enough a 64-bit key for each band, as bytes; for others none. Shingles are hashes, so multiplying by an odd number and folding permutes them afresh."""
+        long = self.size >= MIN_WORDS
+        keys = np.zeros((int(long.sum()), BANDS), dtype=np.uint64)
+        for band in range(BANDS if len(keys) else 0):
+            key = np.full(len(keys), np.uint64(band + 1) * np.uint64(0x1E3779B97F4A7C15))
             for seed in _SEEDS[band * ROWS : (band + 1) * ROWS]:
                 folded = self.values * seed
                 folded ^= folded >> np.uint64(29)
                 key = mix64(key ^ np.minimum.reduceat(folded, self.at[:-1])[long])
-            keys.append(key.view(np.int64))
-        return np.concatenate(keys), np.tile(self.sid[long], BANDS)
+            keys[:, band] = key
+        ends = np.concatenate([[0], np.cumsum(long * (8 * BANDS))]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(long), [None, pa.py_buffer(ends), pa.py_buffer(keys)])
 
 
 def _of_batch(column: pa.Array) -> tuple[np.ndarray, Paragraphs]:
@@ -100,29 +99,32 @@ def _of_batch(column: pa.Array) -> tuple[np.ndarray, Paragraphs]:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, sid, short) of every paragraph of docs (doc_id, text); sid names its shingles."""
+    """(doc_id, place, sid, short, bands) of every paragraph of docs (doc_id, text); sid names its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, p = _of_batch(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(p.doc)), pa.array(p.place.astype(np.int32)), pa.array(p.sid), pa.array(p.size < MIN_WORDS)], names=["doc_id", "place", "sid", "short"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(p.doc)), pa.array(p.place.astype(np.int32)), pa.array(p.sid), pa.array(p.size < MIN_WORDS), p.bands()], names=["doc_id", "place", "sid", "short", "bands"])
 
-    return docs.mapInArrow(by_slices(run), "doc_id long, place int, sid long, short boolean")
+    return docs.mapInArrow(by_slices(run), "doc_id long, place int, sid long, short boolean, bands binary")
 
 
-def bands_of(docs: DataFrame, some: DataFrame | None = None) -> DataFrame:
+def bands_of(every: DataFrame, some: DataFrame | None = None) -> DataFrame:
     """(token, id): a row for each band of each paragraph, id being its sid; with `some` (token), all rows of these tokens and few others."""
-    shared = None if some is None else docs.sparkSession.sparkContext.broadcast(key_bits(some, True).tobytes())
+    shared = None if some is None else every.sparkSession.sparkContext.broadcast(key_bits(some, True).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sids = _of_batch(batch.column(1))[1].bands()
+            raw = batch.column(1).cast(pa.large_binary()).buffers()
+            off = np.frombuffer(raw[1], dtype=np.int64, count=batch.num_rows + 1 + batch.column(1).offset)[batch.column(1).offset :]
+            keys = np.frombuffer(raw[2] or b"", dtype=np.int64)[off[0] // 8 : off[-1] // 8]
+            sids = np.repeat(np.asarray(batch.column(0)), np.diff(off) // 8)
             if shared is not None:
                 keep = has_bits(np.frombuffer(shared.value, dtype=np.uint64), keys)
                 keys, sids = keys[keep], sids[keep]
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sids)], names=["token", "id"])
 
-    return docs.mapInArrow(by_slices(run), "token long, id long")
+    return every.where("NOT short").select("sid", "bands").mapInArrow(by_slices(run), "token long, id long")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -163,8 +165,8 @@ def removals(docs: DataFrame) -> DataFrame:
     every = materialize(paragraphs(docs), "op5-paragraphs")
     place = F.struct("doc_id", "place")
     classes = materialize(every.groupBy("sid").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("short").alias("short")), "op5-classes")
-    several = materialize(in_several(bands_of(docs), "token", "id"), "op5-tokens")
-    buckets = materialize(bands_of(docs, several).join(several.hint("merge"), "token").distinct(), "op5-buckets")
+    several = materialize(in_several(bands_of(every), "token", "id"), "op5-tokens")
+    buckets = materialize(bands_of(every, several).join(several.hint("merge"), "token").distinct(), "op5-buckets")
     met = classes.where(may_have(docs.sparkSession, buckets.select("id"))(F.col("sid"))).join(buckets.select(F.col("id").alias("sid")).distinct().hint("merge"), "sid")
     texts = materialize(_texts(docs, met.select("first.doc_id", "first.place", F.col("sid").alias("id"))), "op5-texts")
     labels, _ = link(buckets, texts, materialize(_sketches(texts), "op5-sketches"))
@@ -180,16 +182,15 @@ def removals(docs: DataFrame) -> DataFrame:
 
 
 def clean_texts(docs: DataFrame) -> DataFrame:
-    """Rows of docs with `text` less its repeated paragraphs, and n_paragraphs, n_removed. A text that loses none stays as it is."""
-    gone = materialize(removals(docs).distinct(), "op5-removals")
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_paragraphs", "n_removed")])
+    """Rows of docs with `text` less its repeated paragraphs, and n_removed, their number. A text that loses none stays as it is and where it is."""
+    gone = materialize(removals(docs), "op5-removals")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() == "n_removed"])
     key, places = fresh("_doc", docs.columns), fresh("_places", docs.columns)
     # a text changes only where a paragraph that is not short goes
-    of_doc = gone.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("place", "sid", "short")).alias(places)).where(F.exists(places, lambda x: ~x["short"]))
+    of_doc = gone.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("place", "sid", "short")).alias(places)).where(F.exists(places, lambda x: ~x["short"]))
     of_doc = materialize(of_doc, "op5-of-doc")
     flag = may_have(docs.sparkSession, of_doc.select(key))(F.col("doc_id"))
     touched = docs.where(flag).join(of_doc.hint("merge"), F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
-    both = docs.where(~flag).withColumn(places, F.lit(None).cast(touched.schema[places].dataType)).unionByName(touched)
     at, last = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,12 +201,12 @@ def clean_texts(docs: DataFrame) -> DataFrame:
             for i, some in enumerate(batch.column(last).to_pylist()):
                 if some:
                     texts[i], removed[i] = _without(raw, p, int(begin[i]), int(begin[i + 1]), some, texts[i])
-            columns = [*batch.columns[:last], pa.array(np.diff(begin)), pa.array(removed)]
+            columns = [*batch.columns[:last], pa.array(removed)]
             columns[at] = pa.array(texts, batch.column(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:last], "n_paragraphs", "n_removed"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:last], "n_removed"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_paragraphs", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return both.mapInArrow(by_slices(run), schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType())])
+    return docs.where(~flag).withColumn("n_removed", F.lit(0).cast("long")).unionByName(touched.mapInArrow(by_slices(run), schema))
 
 
 def _without(raw: np.ndarray, p: Paragraphs, begin: int, end: int, some: list[dict], text: str) -> tuple[str, int]:
@@ -228,10 +229,10 @@ def _without(raw: np.ndarray, p: Paragraphs, begin: int, end: int, some: list[di
 
 
 def paragraph_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_paragraphs, n_removed, kept_bytes, kept_sha256 of what is left of each text."""
+    """doc_id, n_removed, kept_bytes, kept_sha256 of what is left of each text."""
     out = clean_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     kept = F.col("text").cast("binary")
-    return out.select("doc_id", "n_paragraphs", "n_removed", F.octet_length(kept).cast("long").alias("kept_bytes"), F.sha2(kept, 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_removed", F.octet_length(kept).cast("long").alias("kept_bytes"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def op5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
