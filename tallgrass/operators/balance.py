@@ -37,18 +37,43 @@ def karmarkar_karp(costs: list[int], k: int, equal_size: bool = False) -> list[l
 
 
 def greedy(costs: list[int], k: int, equal_size: bool = False) -> list[list[int]]:
-    """Each item, in input order, to the set that has least so far; with equal_size full sets are passed over."""
-    full = -(-len(costs) // k)
-    heap = [(0, s) for s in range(k)]
+    """Each item, in input order, to the set that has least so far (the first of equals); with equal_size to the one with fewest items, of these the one with least."""
+    if k < 1 or equal_size and len(costs) % k:
+        raise ValueError(f"{len(costs)} items don't make {k} equal sets")
+    heap = [(0, 0, s) for s in range(k)]
     out: list[list[int]] = [[] for _ in range(k)]
     for i, c in enumerate(costs):
-        total, s = heapq.heappop(heap)
+        items, total, s = heapq.heappop(heap)
         out[s].append(i)
-        if not equal_size or len(out[s]) < full:
-            heapq.heappush(heap, (total + c, s))
+        heapq.heappush(heap, (items + 1 if equal_size else 0, total + c, s))
     return out
 
 
+def imbalance(costs: list[int], parts: list[list[int]], prefix: str = "global_seqlen") -> dict[str, float]:
+    """Least and most of equal slices of the costs as they come, of the parts, and the mean."""
+    size = len(costs) // len(parts)
+    before = [sum(costs[i : i + size]) for i in range(0, len(costs), size)]
+    after = [sum(costs[i] for i in p) for p in parts]
+    values = {"min": min(before), "max": max(before), "minmax_diff": max(before) - min(before), "balanced_min": min(after), "balanced_max": max(after), "mean": sum(before) / len(parts)}
+    return {f"{prefix}/{k}": v for k, v in values.items()}
+
+
+def inverse(order: list[int]) -> list[int]:
+    """Where each item of a permutation came from."""
+    out = [0] * len(order)
+    for place, i in enumerate(order):
+        out[i] = place
+    return out
+
+
+def ceil_div(a: int, b: int) -> int:
+    return -(-a // b)
+
+
+def round_up(a: int, b: int) -> int:
+    return ceil_div(a, b) * b
+
+
 def group_balanced(costs: list[int], uids: list, k: int) -> list[list[int]]:
     """Runs of equal uids stay together."""
     runs: list[list[int]] = []

@@ -155,3 +155,30 @@ def apply_preset(tok: DataFrame, name: str) -> DataFrame:
     out = tok.withColumn("old", F.col("roll")) if p.bypass else tok
     out = importance_weights(out, p.weights, p.weight_threshold) if p.weights else out.withColumn("rho", F.lit(1.0))
     return reject(out, p.reject, p.reject_threshold).withColumn("m", F.col("keep")).drop("keep") if p.reject else out
+
+
+def option_metrics(tok: DataFrame, name: str, thresholds: str | float) -> DataFrame:
+    """One row about an option's statistic over unmasked tokens: mean, extremes, shares beyond the bounds, deviation of values held between them, and the same of sequence means."""
+    import math
+
+    lo, hi = parse_thresholds([name], thresholds)[name]
+    two = name.endswith("k1")
+    if two:
+        lo, hi = math.log(lo), math.log(hi)
+    s = F.col("s")
+    stat = tok.withColumn("s", statistic(name)).where("m <> 0")
+    held = F.greatest(F.least(s, F.lit(hi)), F.lit(lo if two else 0.0))
+    n = F.count(F.lit(1)) + 1e-8
+    high, low = (s > hi).cast("double"), (s < lo).cast("double") if two else F.lit(0.0)
+    square = F.sum(held * held) / n - (F.sum(held) / n) * (F.sum(held) / n)
+    per = stat.agg((F.sum("s") / n).alias("mean"), F.max("s").alias("max"), F.min("s").alias("min"), (F.sum(high) / n).alias("fraction_high"), (F.sum(low) / n).alias("fraction_low"), F.sqrt(F.greatest(square, F.lit(0.0))).alias("std"))
+    seqs = stat.groupBy("row_id").agg((F.sum("s") / (F.count(F.lit(1)) + 1e-8)).alias("s"))
+    of_seq = seqs.agg(F.avg("s").alias("seq_mean"), F.coalesce(F.stddev_samp("s"), F.lit(0.0)).alias("seq_std"), F.max("s").alias("seq_max"), F.min("s").alias("seq_min"), F.max(F.abs("s")).alias("seq_max_deviation"), F.avg(high).alias("seq_fraction_high"), F.avg(low).alias("seq_fraction_low"))
+    out = per.withColumn("_one", F.lit(1)).join(of_seq.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    # a sequence's statistic counts once for each sequence
+    return out.withColumns({"fraction_high": F.col("seq_fraction_high"), "fraction_low": F.col("seq_fraction_low")}) if name.startswith("seq_") else out
+
+
+def mismatches(a, b, mask):
+    """How many unmasked tokens of two arrays differ."""
+    return F.size(F.filter(F.zip_with(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), mask, lambda d, m: d & (m == 1)), lambda x: x)).cast("long")

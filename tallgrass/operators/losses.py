@@ -185,3 +185,18 @@ def composite(tok: DataFrame, policy: str = "vanilla", mode: str = "token-mean",
         out = out.crossJoin(agg_loss(tok, kl, mode).withColumnRenamed("loss", "kl_loss"))
         total = total + kl_coef * F.col("kl_loss")
     return out.withColumn("loss", total)
+
+
+def supervised(tok: DataFrame, tokens: float | None = None, dp_size: int = 1) -> DataFrame:
+    """One row: the negative log-probability of tokens whose following token is trained (mask m shifted by one within its row), over all trained tokens."""
+    from pyspark.sql import Window
+
+    after = F.coalesce(F.lead("m").over(Window.partitionBy("row_id").orderBy("pos")), F.lit(0))
+    shifted = tok.withColumn("after", after)
+    n = F.lit(float(tokens)) if tokens else F.sum("m")
+    return shifted.agg((-F.sum(F.when(F.col("after") != 0, F.col("logp"))) / n * dp_size).alias("loss"))
+
+
+def clipped_ratio(tok: DataFrame, mode: str = "token-mean", clip: float = 0.2, c: float = 3.0) -> DataFrame:
+    """The former form of the policy loss: one clip range for both sides, loss, shares of clipped tokens and the mean log-ratio, without weights."""
+    return vanilla(tok.drop("rho"), mode, clip, clip, c)

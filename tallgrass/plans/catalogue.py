@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Modules of queries register theirs when they are imported."""
-    from tallgrass.plans import data, training  # noqa: F401
+    from tallgrass.plans import data, rows, training  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -78,3 +78,43 @@ def windowed_counts(stream: DataFrame, ts: str, width: str, slide: str | None, d
 
 def sessions(stream: DataFrame, ts: str, gap: str, delay: str, *keys: str) -> DataFrame:
     return stream.withWatermark(ts, delay).groupBy(F.session_window(ts, gap), *keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def feed(prompts: DataFrame, n: int, epochs: int, row: str = "row_id") -> DataFrame:
+    """A prompt for each epoch as n samples: sample_id sample_{epoch}_{step}, where step goes on over epochs, and the number among its n."""
+    size = prompts.count()
+    out = prompts.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    out = out.withColumn("step", F.col("epoch") * F.lit(size) + F.col(row) + 1)
+    out = out.withColumn("sample_id", F.concat_ws("_", F.lit("sample"), F.col("epoch").cast("string"), F.col("step").cast("string")))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+
+def version_bumps(events: DataFrame) -> DataFrame:
+    """(version, active, cancelled, queued, started, idle_since, at) -> version, staleness, which begins again with what is under way, and the share of idle time (null where nothing idled)."""
+    idle = F.when(F.col("idle_since").isNotNull() & F.col("started").isNotNull(), 1 - (F.col("idle_since") - F.col("started")) / (F.col("at") - F.col("started")))
+    return events.select("version", (F.col("active") + F.col("cancelled") + F.col("queued")).alias("staleness"), idle.alias("idle_ratio"))
+
+
+def syncs(steps: DataFrame, every: int, step: str = "step") -> DataFrame:
+    """Steps after which parameters are sent, with the version that they get."""
+    return steps.where(F.col(step) % every == 0).withColumn("version", (F.col(step) / every).cast("long"))
+
+
+def requeued(parts: DataFrame) -> DataFrame:
+    """Partial rollouts whose last part didn't finish, as they go back into the queue: tokens so far, and the versions that made them."""
+    packed = parts.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("part_no", "tokens", "version", "finished"))).alias("p"))
+    out = packed.select("sample_id", F.flatten("p.tokens").alias("tokens"), F.array_min("p.version").alias("version_start"), F.array_max("p.version").alias("version_end"), F.element_at("p.finished", -1).alias("finished"))
+    return out.where("NOT finished").drop("finished")
+
+
+def replay_sample(slots: DataFrame, n: int, seed: int = 0, slot: str = "slot") -> DataFrame:
+    """n slots without replacement, by a hash of slot and seed. n is the feature: a batch."""
+    return slots.orderBy(F.crc32(F.concat(F.lit(f"{seed}:"), F.col(slot).cast("string")).cast("binary")), slot).limit(n)
+
+
+def resized(slots: DataFrame, capacity: int, new: int, slot: str = "slot") -> DataFrame:
+    """The buffer with another capacity: slots beyond it go, new ones are empty."""
+    kept = slots.where(F.col(slot) < new)
+    if new <= capacity:
+        return kept
+    return kept.unionByName(slots.sparkSession.range(capacity, new).select(F.col("id").cast(slots.schema[slot].dataType).alias(slot)), allowMissingColumns=True)
