@@ -2,8 +2,12 @@
 
 Generators propose spans of four kinds with high recall: the four base patterns, and looser forms that may overlap them (disguised addresses, numbers without a plus
 sign, groups of digits, dotted numbers). Each span gets format and context features. Boosted trees of depth two, grown here from histograms of gradients that Spark
-aggregates, learn which candidates look like spans that pass a base pattern's checks. For each kind the threshold is the lowest at which PRECISION of held-out
-candidates above it pass. Base spans always stay; other candidates are added where they reach the threshold and overlap no base span and no better candidate.
+aggregates, learn which candidates are written like spans that pass a base pattern's checks.
+
+There are no labels of spans, so the checks stand for them. A match of a base pattern that passes is a yes, one of a wrong structure (too few or many digits, a part above 255) a no. A card
+number of the right length whose check digit alone is wrong is neither: of ten numbers that someone made up one passes, so the digit says little about what was meant. A looser candidate
+is a yes where it overlaps a passing span of its kind, a no where it overlaps one of another kind or is part of a match that fails, else neither. For each kind the threshold is the lowest at
+which PRECISION of held-out candidates above it are a yes. Base spans always stay; other candidates are added where they reach the threshold and overlap no base span and no better candidate.
 
 Positions are code points: a text is split at the matches, and lengths of the parts add up. Patterns use loops over single characters only, whose matching doesn't nest,
 so very long texts can't exhaust a stack: dots and separators that join characters are first marked by private-use characters of the same length.
@@ -94,12 +98,13 @@ def luhn(digits: Column) -> Column:
 
 
 def passes(kind: str, m: Column) -> Column:
-    """What a match of a base pattern has to pass."""
+    """What a match of a base pattern has to pass; null where only a check digit speaks against it."""
     n = F.length(_digits(m))
     if kind == "ip":
         return F.forall(F.split(m, r"\."), lambda p: (F.length(F.regexp_replace(p, "^0+", "")) <= 3) & (F.coalesce(F.right(p, F.lit(4)).try_cast("int"), F.lit(0)) <= 255))
     if kind == "card":
-        return n.between(12, 19) & luhn(F.when(n.between(12, 19), _digits(m)).otherwise(F.lit("1")))
+        # null: nothing but the check digit is wrong
+        return F.when(~n.between(12, 19), False).when(luhn(F.when(n.between(12, 19), _digits(m)).otherwise(F.lit("1"))), True)
     return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
@@ -242,7 +247,17 @@ def thresholds(held: DataFrame, score: Column) -> dict[int, float]:
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans): arrays of (start, kind, end) in order; spans holds base and what the trees add."""
     found = materialize(candidates(docs), "op9-candidates")
-    each = found.select("doc_id", F.explode("base").alias("c")).select("c.ok", *[f"c.{f}" for f in FEATURES], (F.pmod(F.xxhash64("doc_id", "c.start"), F.lit(4)) == 0).alias("held"))
+    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+    def judged(c: Column) -> Column:
+        """A looser candidate, with what the base matches that it overlaps say."""
+        yes = F.exists("base", lambda b: meets(b, c) & F.coalesce(b["ok"], F.lit(False)) & (b["kind"] == c["kind"]))
+        around = lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"])
+        no = F.exists("base", lambda b: (~F.coalesce(b["ok"], F.lit(True)) & around(b)) | (F.coalesce(b["ok"], F.lit(False)) & (b["kind"] != c["kind"]) & meets(b, c)))
+        return c.withField("ok", F.when(yes, True).when(no, False))
+
+    every = found.select("doc_id", F.explode(F.concat("base", F.transform("more", judged))).alias("c")).where("c.ok IS NOT NULL")
+    each = every.select("c.ok", *[f"c.{f}" for f in FEATURES], (F.pmod(F.xxhash64("doc_id", "c.start"), F.lit(4)) == 0).alias("held"))
     counts = materialize(each.groupBy("ok", "held", *FEATURES).agg(F.count("*").alias("n")).coalesce(4), "op9-counts")
     start, trees = boost(counts.where(~F.col("held")))
 
@@ -255,13 +270,12 @@ def find(docs: DataFrame) -> DataFrame:
     limits = thresholds(counts.where("held"), score(F.col)) if trees else {}
     brief = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))
     base = F.array_sort(F.transform(F.filter("base", lambda c: c["ok"]), brief))
-    out = found.select("doc_id", base.alias("base"), F.concat(F.filter("base", lambda c: ~c["ok"]), "more").alias("more"))
+    out = found.select("doc_id", base.alias("base"), F.concat(F.filter("base", lambda c: ~F.coalesce(c["ok"], F.lit(False))), "more").alias("more"))
     if not limits:
         return out.select("doc_id", "base", F.col("base").alias("spans"))
     scored = F.transform("more", lambda c: F.struct(score(lambda f: c[f]).alias("s"), (-c["start"]).alias("first"), brief(c).alias("x")))
     limit = lambda x: F.coalesce(*[F.when(x["kind"] == k, F.lit(v)) for k, v in limits.items()], F.lit(1e9))
     out = out.withColumn("more", F.array_distinct(F.filter(scored, lambda y: y["s"] >= limit(y["x"]))))
-    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
     out = out.withColumn("more", F.filter("more", lambda y: ~F.exists("base", lambda b: meets(b, y["x"]))))
     alone = F.filter("more", lambda y: ~F.exists("more", lambda z: (z > y) & meets(z["x"], y["x"])))
     return out.select("doc_id", "base", F.array_sort(F.concat("base", F.transform(alone, lambda y: y["x"]))).alias("spans"))
@@ -273,10 +287,10 @@ def _joined(spans: str) -> Column:
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (of the base patterns), base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone (of the base patterns), base_sha256, spans, n_spans (all of them)."""
     of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k))
     counts = [of_kind(k).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return find(docs).select("doc_id", *counts, F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+    return find(docs).select("doc_id", *counts, F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
