@@ -63,11 +63,18 @@ def token_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda x: x != ""))
 
 
+SHORT_SYSTEM = "You are a helpful assistant."
+
+
 def truncated(messages: Column, budget: int) -> Column:
-    """The first of these that fits: all messages; without the system message; then without the oldest pairs of user and assistant, while more than two are left. Null where none does."""
+    """The first of these that fits: all messages; with a short system message; without one; then with the short one, if there was any, and without the oldest pairs of user and assistant, while more than two messages are left. Null where none does."""
     size = lambda ms: F.aggregate(ms, F.lit(0), lambda a, m: a + token_count(m["content"]))
+    short = F.transform(messages, lambda m: F.when(m["role"] == "system", m.withField("content", F.lit(SHORT_SYSTEM))).otherwise(m))
     rest = F.filter(messages, lambda m: m["role"] != "system")
-    steps = F.sequence(F.lit(0), F.greatest(F.floor((F.size(rest) - 1) / 2).cast("int"), F.lit(0)))
-    shorter = F.transform(steps, lambda k: F.slice(rest, 2 * k + 1, F.greatest(F.size(rest) - 2 * k, F.lit(0))))
-    every = F.concat(F.array(messages), F.filter(shorter, lambda ms: F.size(ms) > 0))
+    first = F.when(F.get(messages["role"], 0) == "system", 1).otherwise(0)
+    steps = F.when(F.size(short) > 2, F.sequence(F.lit(1), F.floor((F.size(short) - first) / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
+    dropped = F.transform(steps, lambda k: F.concat(F.slice(short, 1, first), F.slice(short, first + 2 * k + 1, F.greatest(F.size(short) - first - 2 * k, F.lit(0)))))
+    # the last step is the one that leaves two or fewer
+    enough = F.filter(dropped, lambda ms, k: (F.size(ms) > 0) & ((k == 0) | (F.size(F.get(dropped, k - 1)) > 2)))
+    every = F.concat(F.array(messages, short), F.filter(F.array(rest), lambda ms: (F.size(ms) > 0) & (F.size(ms) < F.size(messages))), enough)
     return F.try_element_at(F.filter(every, lambda ms: size(ms) <= budget), F.lit(1))

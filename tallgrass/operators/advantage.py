@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions.masked import kept, mask_sum, total
+from tallgrass.sources.durable import durable
 
 _REGISTRY: dict[str, Callable] = {}
 
@@ -225,19 +226,41 @@ def tir_otb(tok: DataFrame, zero_tail: bool = True, epsilon: float = 1e-8) -> Da
     return out.unionByName(rest)
 
 
-def pf_ppo_weights(score: Column, method: str = "pow", power: float = 2.0) -> Column:
-    """Resampling weights of a batch's scores."""
-    every = Window.partitionBy()
-    top, low = F.max(score).over(every), F.min(score).over(every)
-    if method == "pow":
-        w = F.pow(F.abs(score), F.lit(power))
-    elif method == "max_min":
-        w = F.when((score == top) | (score == low), 1.0).otherwise(0.0)
-    elif method == "max_random":
-        w = F.when(score == top, 0.4).otherwise(0.1)
-    else:
+def pf_ppo_weights(rows: DataFrame, score: str = "score", method: str = "pow", power: float = 2.0) -> DataFrame:
+    """Adds weight, by which rows are drawn again. Extremes come from one aggregate row."""
+    if method not in ("pow", "max_min", "max_random"):
         raise ValueError(f"unknown reweight method {method}")
-    return F.greatest(w + 1e-8, F.lit(1e-8))
+    x = F.col(score)
+    if method == "pow":
+        return rows.withColumn("weight", F.greatest(F.pow(F.abs(x), F.lit(power)) + 1e-8, F.lit(1e-8)))
+    ends = rows.agg(F.max(x).alias("_top"), F.min(x).alias("_low"))
+    w = F.when((x == F.col("_top")) | (x == F.col("_low")), 1.0).otherwise(0.0) if method == "max_min" else F.when(x == F.col("_top"), 0.4).otherwise(0.1)
+    return rows.crossJoin(F.broadcast(ends)).withColumn("weight", F.greatest(w + 1e-8, F.lit(1e-8))).drop("_top", "_low")
+
+
+def pf_ppo_resample(rows: DataFrame, n: int, order: str, score: str = "score", method: str = "pow", power: float = 2.0, seed: int = 0) -> DataFrame:
+    """n rows drawn with replacement by weight: draw i falls at a seeded place of the sum of weights and takes the row that covers it. Ranges of rows are summed where they lie; only their sums reach the driver."""
+    weighted = durable(pf_ppo_weights(rows, score, method, power).repartitionByRange(order).withColumn("_p", F.spark_partition_id()), "pf-ppo")
+    sums = sorted((r._p, r.w) for r in weighted.groupBy("_p").agg(F.sum("weight").alias("w")).collect())
+    if not sums:
+        return rows.withColumn("draw", F.lit(0).cast("long")).limit(0)
+    total, offsets = 0.0, []
+    for p, w in sums:
+        offsets.append((p, total, total + w))
+        total += w
+    spark = rows.sparkSession
+    ranges = F.broadcast(spark.createDataFrame(offsets, "_p int, _from double, _to double"))
+    hashed = F.pmod(F.xxhash64(F.lit(seed), "draw"), F.lit(1 << 52)) / float(1 << 52)
+    draws = spark.range(n).select(F.col("id").alias("draw")).withColumn("_at", hashed * total)
+    draws = draws.join(ranges, (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to")))
+    until = F.sum("weight").over(Window.partitionBy("_p").orderBy(order))
+    covered = weighted.withColumn("_until", until).join(ranges.select("_p", "_from"), "_p").select(*rows.columns, "weight", "_p", (F.col("_from") + F.col("_until")).alias("_end"))
+    # each draw takes the first row of its range that ends behind it: one order of rows and draws, from the end
+    one = F.struct(*rows.columns, "weight")
+    both = covered.select("_p", F.col("_end").alias("_pos"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("draw"), one.alias("x"))
+    both = both.unionByName(draws.select("_p", F.col("_at").alias("_pos"), F.lit(0).alias("_kind"), "draw"), allowMissingColumns=True)
+    w = Window.partitionBy("_p").orderBy(F.desc("_pos"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("x", F.last("x", ignorenulls=True).over(w)).where("draw IS NOT NULL").select("draw", "x.*")
 
 
 def kl_reward(score: Column | str, logp: Column | str, ref: Column | str, beta: float) -> Column:

@@ -182,4 +182,5 @@ query(
     FROM (SELECT w, greatest(least(w, 1.2), 1 / 1.2::DOUBLE) AS h FROM (SELECT exp({_X}) AS w FROM ({TOK}) WHERE m <> 0))""",
 )(lambda spark, sf: _one(C.is_metrics(tokens(spark, sf), 1.2)))
 query("debug_probs_corr", f"SELECT round(max(abs(a - b)), 6) + 0.0 AS diff_max, round(avg(abs(a - b)), 6) + 0.0 AS diff_mean, round(stddev_samp(abs(a - b)), 6) + 0.0 AS diff_std, round(corr(a, b), 6) + 0.0 AS pearson FROM (SELECT exp(roll) AS a, exp(old) AS b FROM ({TOK}) WHERE m <> 0)")(lambda spark, sf: _one(C.probability_difference(tokens(spark, sf))))
-query("pf_ppo_weights", "SELECT event_id, round(greatest(value ** 2 + 1e-8, 1e-8), 4) + 0.0 AS weight FROM events")(lambda spark, sf: spark.read.parquet(f"{sf}/events.parquet").select("event_id", r6(A.pf_ppo_weights(F.col("value")), 4).alias("weight")))
+query("pf_ppo_weights", "SELECT event_id, round(greatest(value ** 2 + 1e-8, 1e-8), 4) + 0.0 AS weight FROM events")(lambda spark, sf: spark.read.parquet(f"{sf}/events.parquet").transform(lambda d: A.pf_ppo_weights(d, "value")).select("event_id", r6("weight", 4).alias("weight")))
+query("pf_ppo_resample")(lambda spark, sf: (lambda d: A.pf_ppo_resample(d, d.count(), "event_id", "value").select("draw", "event_id"))(spark.read.parquet(f"{sf}/events.parquet").select("event_id", "value")))
