@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tallgrass.llm.common import materialize, table
 
 KINDS = ("email", "ip", "card", "phone")
-TREES, RATE, LEAST_ROWS, RIDGE, PRECISION, MIN_HELD = 12, 0.4, 20.0, 1.0, 0.95, 20
+TREES, RATE, LEAST_ROWS, RIDGE, PRECISION, MIN_HELD = 16, 0.4, 5.0, 1.0, 0.95, 20
 FEATURES = ("kind", "digits", "letters", "marks", "groups", "head", "before", "after", "context", "tail", "form")
 #: Stand for a dot between two characters of a host name, and for one separator between two digits.
 DOT, JOIN = chr(0xE001), chr(0xE000)
@@ -232,15 +232,31 @@ def boost(counts: DataFrame) -> tuple[float, list[Tree]]:
 
 
 def thresholds(held: DataFrame, score: Column) -> dict[int, float]:
-    """For each kind the lowest score above which PRECISION of held-out candidates pass; none where too few do."""
+    """For each kind the lowest score above which PRECISION of its held-out candidates are a yes. A kind with fewer than MIN_HELD above any score takes the threshold of all kinds together; without that many in all there is none."""
     rows = held.coalesce(1).select("kind", F.round(score, 3).alias("s"), "ok", "n").groupBy("kind", "s").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("p")).collect()
-    out: dict[int, float] = {}
-    for kind in range(len(KINDS)):
+
+    def lowest(some: list) -> float | None:
+        by: dict[float, tuple[int, int]] = {}
+        for r in some:
+            n, p = by.get(r.s, (0, 0))
+            by[r.s] = n + r.n, p + r.p
         n = p = 0
-        for r in sorted((r for r in rows if r.kind == kind), key=lambda r: -r.s):
-            n, p = n + r.n, p + r.p
+        found = None
+        for s in sorted(by, reverse=True):
+            n, p = n + by[s][0], p + by[s][1]
             if n >= MIN_HELD and p >= PRECISION * n:
-                out[kind] = r.s
+                found = s
+        return found
+
+    together = lowest(rows)
+    out: dict[int, float] = {}
+    for kind in range(len(KINDS)):
+        own = [r for r in rows if r.kind == kind]
+        limit = lowest(own)
+        if limit is None and sum(r.p for r in own) < MIN_HELD:
+            limit = together
+        if limit is not None:
+            out[kind] = limit
     return out
 
 
