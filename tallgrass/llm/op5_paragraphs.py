@@ -20,6 +20,7 @@ gives an empty one. clean_texts() keeps all columns but n_removed, which gives w
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,12 @@ def _window_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(best[:-rest], best[rest:]) if rest else best
 
 
+def _names(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    if len(at) < 2:
+        return np.zeros(0, dtype=np.int64)
+    return mix64(np.add.reduceat(mix64(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at[:-1])).view(np.int64)
+
+
 class Paragraphs:
     """The paragraphs of documents that lie end to end: document, place, first and next byte, number of words; and the words' hashes."""
 
@@ -74,20 +81,36 @@ class Paragraphs:
         self.start = starts[first]
         self.stop = np.where(same, np.append(self.start[1:], 0), off[self.doc + 1]) if len(first) else first
         self.end = ends[last] + 1
-        self.values, self.at = shingle_hashes(words, self.bounds)
-        # a name for the shingles of each, with their number of times
-        self.sid = mix64(np.add.reduceat(mix64(self.values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), self.at[:-1])).view(np.int64) if len(first) else first
+
+    @cached_property
+    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
+        return shingle_hashes(self.words, self.bounds)
+
+    @cached_property
+    def sid(self) -> np.ndarray:
+        """A name for the shingles of each, with their number of times."""
+        return _names(*self.shingles)
+
+    def sids(self, which: np.ndarray) -> np.ndarray:
+        """The names of some alone."""
+        size = self.size[which]
+        ends = np.cumsum(size)
+        if not len(which):
+            return np.zeros(0, dtype=np.int64)
+        at = np.arange(int(ends[-1])) - np.repeat(ends - size, size) + np.repeat(self.bounds[:-1][which], size)
+        return _names(*shingle_hashes(self.words[at], np.concatenate([[0], ends])))
 
     def bands(self) -> pa.Array:
         """For each paragraph that is long enough a 64-bit key for each band, as bytes; for others none. Shingles are hashes, so multiplying by an odd number and folding permutes them afresh."""
         long = self.size >= MIN_WORDS
+        values, at = self.shingles
         keys = np.zeros((int(long.sum()), BANDS), dtype=np.uint64)
         for band in range(BANDS if len(keys) else 0):
             key = np.full(len(keys), np.uint64(band + 1) * np.uint64(0x1E3779B97F4A7C15))
             for seed in _SEEDS[band * ROWS : (band + 1) * ROWS]:
-                folded = self.values * seed
+                folded = values * seed
                 folded ^= folded >> np.uint64(29)
-                key = mix64(key ^ np.minimum.reduceat(folded, self.at[:-1])[long])
+                key = mix64(key ^ np.minimum.reduceat(folded, at[:-1])[long])
             keys[:, band] = key
         ends = np.concatenate([[0], np.cumsum(long * (8 * BANDS))]).astype(np.int32)
         return pa.Array.from_buffers(pa.binary(), len(long), [None, pa.py_buffer(ends), pa.py_buffer(keys)])
@@ -136,15 +159,12 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             raw, p = _of_batch(batch.column(0))
             begin = np.searchsorted(p.doc, np.arange(batch.num_rows + 1))
-            ids, texts = [], []
-            for i, some in enumerate(batch.column(1).to_pylist()):
-                for x in some:
-                    k = begin[i] + x["place"]
-                    # rows that share an id may differ
-                    if k < begin[i + 1] and p.sid[k] == x["sid"]:
-                        ids.append(x["sid"])
-                        texts.append(raw[p.start[k] : p.end[k]].tobytes().decode())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
+            listed = [(begin[i] + x["place"], x["sid"]) for i, some in enumerate(batch.column(1).to_pylist()) for x in some if begin[i] + x["place"] < begin[i + 1]]
+            which, want = (np.array(c, dtype=np.int64) for c in (zip(*listed, strict=True) if listed else ([], [])))
+            # rows that share an id may differ
+            same = p.sids(which) == want
+            texts = [raw[a:b].tobytes().decode() for a, b in zip(p.start[which[same]].tolist(), p.end[which[same]].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(want[same]), pa.array(texts, pa.string())], names=["id", "text"])
 
     return source.join(of_doc.hint("merge"), "id").select("text", "wanted").mapInArrow(by_slices(run), "id long, text string").dropDuplicates(["id"])
 
@@ -198,9 +218,14 @@ def clean_texts(docs: DataFrame) -> DataFrame:
             raw, p = _of_batch(batch.column(at).cast(pa.string()))
             begin = np.searchsorted(p.doc, np.arange(batch.num_rows + 1))
             texts, removed = batch.column(at).to_pylist(), np.zeros(batch.num_rows, dtype=np.int64)
-            for i, some in enumerate(batch.column(last).to_pylist()):
-                if some:
-                    texts[i], removed[i] = _without(raw, p, int(begin[i]), int(begin[i + 1]), some, texts[i])
+            listed = [(i, begin[i] + x["place"], x["sid"], x["short"]) for i, some in enumerate(batch.column(last).to_pylist()) for x in some or [] if begin[i] + x["place"] < begin[i + 1]]
+            which, want = (np.array([x[k] for x in listed], dtype=np.int64) for k in (1, 2))
+            found: dict[int, list] = {}
+            for (i, k, _, short), same in zip(listed, (p.sids(which) == want).tolist(), strict=True):
+                if same:
+                    found.setdefault(i, []).append((int(k), short))
+            for i, some in found.items():
+                texts[i], removed[i] = _without(raw, p, int(begin[i]), int(begin[i + 1]), some, texts[i])
             columns = [*batch.columns[:last], pa.array(removed)]
             columns[at] = pa.array(texts, batch.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:last], "n_removed"])
@@ -209,9 +234,8 @@ def clean_texts(docs: DataFrame) -> DataFrame:
     return docs.where(~flag).withColumn("n_removed", F.lit(0).cast("long")).unionByName(touched.mapInArrow(by_slices(run), schema))
 
 
-def _without(raw: np.ndarray, p: Paragraphs, begin: int, end: int, some: list[dict], text: str) -> tuple[str, int]:
+def _without(raw: np.ndarray, p: Paragraphs, begin: int, end: int, found: list[tuple[int, bool]], text: str) -> tuple[str, int]:
     """A text less the paragraphs that go, and their number."""
-    found = [(begin + x["place"], x["short"]) for x in some if begin + x["place"] < end and p.sid[begin + x["place"]] == x["sid"]]
     gone, short = {k for k, s in found if not s}, {k for k, s in found if s}
     # short ones beside one that goes follow it, one after another
     for step in (1, -1):

@@ -88,9 +88,11 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, n
         source = np.repeat(bounds[long] - at[long], sizes[long])
         dest = np.concatenate([np.arange(at[i], at[i + 1]) for i in long]) if len(long) < 64 else np.flatnonzero(np.repeat(~short, sizes))
         out[dest] = total[dest + source]
-    for i in np.flatnonzero(short):
-        w = words[bounds[i] : bounds[i + 1]]
-        out[at[i]] = mix64((w * PLACES[: len(w)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(w)))[0]
+    for k in range(1, WORDS):
+        some = np.flatnonzero(counts == k)
+        if len(some):
+            w = words[bounds[some][:, None] + np.arange(k)] * PLACES[:k]
+            out[at[some]] = mix64(w.sum(axis=1, dtype=np.uint64) + np.uint64(k))
     return out, at
 
 
