@@ -18,6 +18,8 @@ def _t(spark, sf, name):
 # batches ---------------------------------------------------------------------------------------------------------------------------------
 _CUST = "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_id, c_custkey, c_nationkey FROM customer"
 
+_N = "(SELECT count(*) AS n FROM customer)"
+
 
 def _cust(spark, sf):
     """customer with dense row ids, and how many."""
@@ -38,15 +40,39 @@ _batch("batch_pad_cyclic", f"WITH c AS ({_CUST}), n AS (SELECT count(*) AS n FRO
 _batch("batch_pad_last", f"WITH c AS ({_CUST}), n AS (SELECT count(*) AS n FROM customer) SELECT i AS row_id, c_custkey FROM n, range(n + 5) t(i) JOIN c ON c.row_id = least(i, n - 1)", lambda d, n: batch.pad_rows(d, n, 5).select("row_id", "c_custkey"))
 _batch("batch_unpad", f"SELECT row_id, c_custkey FROM ({_CUST}) WHERE row_id < (SELECT count(*) - 5 FROM customer)", lambda d, n: batch.unpad(d, n, 5).select("row_id", "c_custkey"))
 _batch("batch_slice", f"WITH c AS ({_CUST}), n AS (SELECT count(*) AS n FROM customer) SELECT (n - 3 - row_id) // 4 AS row_id, c_custkey FROM c, n WHERE row_id > 10 AND row_id <= n - 3 AND (n - 3 - row_id) % 4 = 0", lambda d, n: batch.slice_rows(d, n, -3, 10, -4).select("row_id", "c_custkey"))
-_batch("batch_gather", f"WITH c AS ({_CUST}) SELECT i AS row_id, c_custkey FROM range(500) t(i) JOIN c ON c.row_id = (i * 7) % 100", lambda d, n: batch.select_rows(d, d.sparkSession.range(500).select(F.col("id").alias("pos"), (F.col("id") * 7 % 100).alias("idx"))).select("row_id", "c_custkey"))
+_batch(
+    "batch_gather",
+    f"WITH c AS ({_CUST}), n AS (SELECT count(*) AS n FROM customer) SELECT i AS row_id, c_custkey FROM n, range(n) t(i) JOIN c ON c.row_id = (i * 7 + i // 3) % n",
+    lambda d, n: batch.select_rows(d, d.sparkSession.range(n).select(F.col("id").alias("pos"), ((F.col("id") * 7 + F.floor(F.col("id") / 3)) % n).alias("idx"))).select("row_id", "c_custkey"),
+)
+#: All rows, filled up to whole groups of 50 from the head, as a batch has to be.
+_FULL = f"(SELECT i, c_custkey FROM {_N}, range(n + (50 - n % 50) % 50) t(i) JOIN ({_CUST}) c ON c.row_id = i % n)"
+
+
+def _full(d, n):
+    return batch.pad_to_divisor(d, n, 50)[0], n + -n % 50
+
+
 _batch("batch_mask", f"SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, c_custkey FROM ({_CUST}) WHERE c_nationkey = 3", lambda d, n: batch.where_mask(d, F.col("c_nationkey") == 3).select(F.col("row_id").cast("long"), "c_custkey"))
 _batch("batch_union", f"SELECT row_id, c_custkey, c_nationkey, c_custkey * 2 AS twice FROM ({_CUST})", lambda d, n: batch.union_columns(d, d.select("row_id", "c_custkey", (F.col("c_custkey") * 2).alias("twice"))))
 _batch("batch_concat", f"SELECT row_id, c_custkey FROM ({_CUST}) UNION ALL SELECT row_id + (SELECT count(*) FROM customer), c_custkey FROM ({_CUST})", lambda d, n: batch.concat([d.select("row_id", "c_custkey")] * 2, [n, n]))
-_batch("batch_fold", f"SELECT row_id // 50 AS row_id, array_to_string(list(c_custkey ORDER BY row_id), ',') AS keys FROM (SELECT * FROM ({_CUST}) WHERE row_id < 100) GROUP BY 1", lambda d, n: batch.fold(d.where("row_id < 100"), 100, 2, ["c_custkey"]).select("row_id", F.array_join("c_custkey", ",").alias("keys")))
-_batch("batch_unfold", f"SELECT row_id, c_custkey FROM ({_CUST}) WHERE row_id < 100", lambda d, n: batch.unfold(batch.fold(d.where("row_id < 100"), 100, 2, ["c_custkey"]), ["c_custkey"], 50))
+_batch(
+    "batch_fold",
+    f"SELECT i // 50 AS row_id, array_to_string(list(c_custkey ORDER BY i), ',') AS keys FROM {_FULL} GROUP BY 1",
+    lambda d, n: (lambda p, m: batch.fold(p, m, m // 50, ["c_custkey"]).select("row_id", F.array_join("c_custkey", ",").alias("keys")))(*_full(d, n)),
+)
+_batch("batch_unfold", f"SELECT i AS row_id, c_custkey FROM {_FULL}", lambda d, n: (lambda p, m: batch.unfold(batch.fold(p, m, m // 50, ["c_custkey"]), ["c_custkey"], 50))(*_full(d, n)))
 _batch("batch_unfold_cols", f"SELECT row_id * 2 + k AS row_id, c_custkey, array_to_string([c_custkey * 4 + k * 2, c_custkey * 4 + k * 2 + 1], ',') AS part FROM ({_CUST}), range(2) t(k)", lambda d, n: batch.unfold_column_chunks(d.withColumn("x", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.col("c_custkey") * 4 + i)), 2, ["x"]).select("row_id", "c_custkey", F.array_join("x", ",").alias("part")))
-_batch("batch_iterate", f"SELECT e::INTEGER AS epoch, row_id // 10 AS batch_id, c_custkey FROM ({_CUST}), range(2) t(e) WHERE row_id < 100", lambda d, n: batch.mini_batches(d.where("row_id < 100"), 100, 10, 2).select("epoch", "batch_id", "c_custkey"))
-_batch("batch_replicate", f"SELECT r::INTEGER AS rank, c_custkey FROM (SELECT *, row_id // 500 AS chunk_id FROM ({_CUST}) WHERE row_id < 1000), range(4) t(r) WHERE chunk_id = r // 2", lambda d, n: batch.replicate(batch.split(d.where("row_id < 1000"), 500), [0, 0, 1, 1]).select("rank", "c_custkey"))
+_batch(
+    "batch_iterate",
+    f"SELECT e::INTEGER AS epoch, i // 10 AS batch_id, c_custkey FROM {_FULL}, range(2) t(e)",
+    lambda d, n: (lambda p, m: batch.mini_batches(p, m, 10, 2).select("epoch", "batch_id", "c_custkey"))(*_full(d, n)),
+)
+_batch(
+    "batch_replicate",
+    f"SELECT r::INTEGER AS rank, c_custkey FROM (SELECT *, floor(row_id / ceil((SELECT count(*) FROM customer) / 2))::BIGINT AS chunk_id FROM ({_CUST})), range(4) t(r) WHERE chunk_id = r // 2",
+    lambda d, n: batch.replicate(batch.chunk(d, n, 2, True), [0, 0, 1, 1]).select("rank", "c_custkey"),
+)
 
 # metrics ---------------------------------------------------------------------------------------------------------------------------------
 _LONG = "SELECT event_id % 37 AS step, event_id % 4 AS rank, CASE event_id % 5 WHEN 0 THEN 'seq/minmax_diff' WHEN 1 THEN 'loss/min' WHEN 2 THEN 'score/mean' WHEN 3 THEN 'timing_s/gen' ELSE 'sample_count' END AS name, CASE event_id % 4 WHEN 0 THEN 'sum' WHEN 1 THEN 'mean' WHEN 2 THEN 'max' ELSE 'min' END AS agg, event_id, value FROM events"
@@ -100,7 +126,9 @@ query("grade_gsm8k_strict", f"SELECT doc_id, replace(regexp_extract(sol, '#### (
 query("grade_gsm8k_flexible", f"SELECT doc_id, list_filter(regexp_extract_all(sol, '(-?[0-9.,]+)', 1), lambda x: x NOT IN ('', '.'))[-1] AS answer FROM ({_SOL})")(lambda spark, sf: _sol(spark, sf).select("doc_id", graders.gsm8k_answer(F.col("sol"), "flexible").alias("answer")))
 _TAG = "SELECT doc_id, '<think>x</think> <answer>The  ' || source || '!</answer>' AS sol, CASE WHEN doc_id % 3 = 0 THEN source ELSE 'src' END AS truth FROM documents"
 query("grade_qa_em", f"SELECT doc_id, (sol LIKE '%  ' || truth || '!%')::INT::DOUBLE AS score FROM ({_TAG})")(lambda spark, sf: _sol(spark, sf, _TAG).select("doc_id", graders.qa_score(F.col("sol"), F.array("truth")).alias("score")))
-query("grade_qa_subem", f"SELECT doc_id, 1.0::DOUBLE AS score FROM ({_TAG})")(lambda spark, sf: _sol(spark, sf, _TAG).select("doc_id", graders.qa_score(F.col("sol"), F.array("truth"), True).alias("score")))
+query("grade_qa_subem", f"SELECT doc_id, contains(lower(sol), lower(truth))::INT::DOUBLE AS score FROM ({_TAG.replace("'src' END", "'srx' END")})")(
+    lambda spark, sf: _sol(spark, sf, _TAG.replace("'src' END", "'srx' END")).select("doc_id", graders.qa_score(F.col("sol"), F.array("truth"), True).alias("score"))
+)
 _BOX = "SELECT doc_id, '<think>x</think> \\boxed{' || CASE doc_id % 3 WHEN 0 THEN 'a, b' WHEN 1 THEN 'a' ELSE 'c, d and {e}' END || '} end' AS sol, 'A,B' AS truth FROM documents"
 query("grade_tactile", f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.3 ELSE 0.1 END::DOUBLE AS score, CASE doc_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.666667 ELSE 0 END::DOUBLE AS f1 FROM ({_BOX})")(lambda spark, sf: _sol(spark, sf, _BOX.replace("\\", "\\\\")).withColumn("g", graders.tactile(F.col("sol"), F.col("truth"))).select("doc_id", r6("g.score").alias("score"), r6("g.f1").alias("f1")))
 query("grade_medical", f"SELECT doc_id, round(CASE doc_id % 3 WHEN 0 THEN 0.5 * 1.0 + 0.3 * 0 + 0.2 WHEN 1 THEN 0.5 * 2 / 3::DOUBLE + 0.2 ELSE 0.2 END, 6)::DOUBLE AS score FROM ({_BOX})")(lambda spark, sf: _sol(spark, sf, _BOX.replace("\\", "\\\\")).withColumn("g", graders.medical(F.col("sol"), F.col("truth"))).select("doc_id", r6("g.score").alias("score")))
@@ -125,8 +153,13 @@ query("interleave", "WITH a AS (SELECT doc_id AS id, 0 AS side, (row_number() OV
 query("filter_groups", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1)")(lambda spark, sf: prep.filter_constant_groups(_t(spark, sf, "lineitem"), "l_orderkey", "l_returnflag").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
 query("filter_len", "SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[^ \\t\\n\\x0b\\f\\r]+')) <= 200")(lambda spark, sf: _t(spark, sf, "documents").where(chat.token_count(F.col("text")) <= 200).select("doc_id"))
 query("key_split", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'train' ELSE 'test' END AS split FROM documents d LEFT JOIN labels l USING (doc_id)")(lambda spark, sf: prep.split_by_keys(_t(spark, sf, "documents").select("doc_id"), _t(spark, sf, "labels"), ["doc_id"]))
-query("extra_info", "SELECT event_id, (props->>'k') AS k, 'none' AS missing FROM events")(lambda spark, sf: _t(spark, sf, "events").select("event_id", *prep.extra_info(F.col("props"), {"k": "", "missing": "none"})))
-query("split_placeholders", "SELECT conv_id, turn, 'image,text,video' AS kinds FROM conversations")(lambda spark, sf: _t(spark, sf, "conversations").select("conv_id", "turn", F.array_join(F.transform(chat.split_placeholders(F.concat(F.lit("<image>"), "text", F.lit("<video>"))), lambda p: p["type"]), ",").alias("kinds")))
+query("extra_info", "SELECT event_id, (props->>'k') AS k, CASE WHEN event_id % 2 = 0 THEN 'e' || event_id ELSE 'none' END AS missing FROM events")(
+    lambda spark, sf: _t(spark, sf, "events").withColumn("p", F.when(F.col("event_id") % 2 == 0, F.concat(F.rtrim("props", F.lit("}")), F.lit(', "missing": "e'), "event_id", F.lit('"}'))).otherwise(F.col("props"))).select("event_id", *prep.extra_info(F.col("p"), {"k": "", "missing": "none"}))
+)
+_PLACED = "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '<image>' || text || '<video>' WHEN 1 THEN text || '<image><image>' ELSE text END AS content, text FROM conversations"
+query("split_placeholders", f"SELECT conv_id, turn, concat_ws(',', CASE WHEN turn % 3 = 0 THEN 'image' END, CASE WHEN text <> '' THEN 'text' END, CASE turn % 3 WHEN 0 THEN 'video' WHEN 1 THEN 'image,image' END) AS kinds FROM ({_PLACED})")(
+    lambda spark, sf: spark.sql(_PLACED.replace("FROM conversations", "FROM {c}"), c=_t(spark, sf, "conversations")).select("conv_id", "turn", F.array_join(F.transform(chat.split_placeholders(F.col("content")), lambda p: p["type"]), ",").alias("kinds"))
+)
 query("parse_tool_calls", "SELECT conv_id, turn, 'f' || turn AS name, conv_id::VARCHAR AS x, text AS content FROM conversations")(
     lambda spark, sf: _t(spark, sf, "conversations").withColumn("s", F.concat("text", F.lit('<tool_call>{"name": "f'), "turn", F.lit('", "arguments": {"x": "'), "conv_id", F.lit('"}}</tool_call><tool_call>no json</tool_call>'))).withColumn("c", chat.tool_calls(F.col("s"))).select("conv_id", "turn", F.col("c")[0]["name"].alias("name"), F.col("c")[0]["arguments"]["x"].alias("x"), chat.without_calls(F.col("s")).alias("content"))
 )
@@ -169,9 +202,9 @@ _SQL = {
     "star_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "star_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
     "star_semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)",
-    "star_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "star_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)",
     "star_intersect": "SELECT l_suppkey AS k FROM lineitem WHERE l_quantity > 49 INTERSECT SELECT l_suppkey FROM lineitem WHERE l_discount > 0.09",
-    "star_except": "SELECT s_suppkey AS k FROM supplier EXCEPT SELECT l_suppkey FROM lineitem WHERE l_quantity > 49",
+    "star_except": "SELECT s_suppkey AS k FROM supplier EXCEPT SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.09 AND l_tax > 0.07",
     "star_full_outer": "SELECT a.c_nationkey AS x, b.s_nationkey AS y, count(*) AS n FROM customer a FULL OUTER JOIN (SELECT * FROM supplier WHERE s_nationkey < 12) b ON a.c_nationkey = b.s_nationkey GROUP BY 1, 2",
     "star_ranking": "SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC) AS BIGINT) AS r, CAST(dense_rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC) AS BIGINT) AS d, CAST(ntile(4) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS q FROM orders",
     "star_tumbling": "SELECT date_trunc('hour', ts) AS w, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY 1, 2",

@@ -235,7 +235,7 @@ query("label_key", f"SELECT key, count(*) AS n FROM (SELECT CASE event_id % 4 WH
 )
 
 # metrics ---------------------------------------------------------------------------------------------------------------------------------
-_BATCH = "SELECT o_orderkey AS row_id, round(o_totalprice / 1000, 2) AS score, round(o_totalprice / 1500, 2) AS reward, o_custkey % 700 AS prompt_length, o_orderkey % 50 AS response_length, o_orderkey % 6 AS num_turns, o_custkey % 4 AS tool_calls FROM orders"
+_BATCH = "SELECT o_orderkey AS row_id, o_totalprice / 1000 AS score, o_totalprice / 1500 AS reward, o_custkey % 700 AS prompt_length, o_orderkey % 50 AS response_length, o_orderkey % 6 AS num_turns, o_custkey % 4 AS tool_calls FROM orders"
 _ADV = f"SELECT m, adv, r AS ret, v FROM ({TOK})"
 _THREE = (("mean", "avg"), ("max", "max"), ("min", "min"))
 
@@ -304,7 +304,7 @@ def derived_async(spark, sf):
     return wide.select("user_id", *[r6(F.col(f"`{c}`")).alias(c.split("/")[1]) for c in ("global_seqlen/minmax_diff", "perf/throughput", "trainer/idle_ratio")])
 
 
-_VAL = "SELECT o_orderpriority AS data_source, o_custkey AS uid, o_orderkey AS pos, CASE o_orderkey % 2 WHEN 0 THEN 'reward' ELSE 'acc' END AS variable, o_totalprice AS value, o_orderstatus AS pred FROM orders"
+_VAL = "SELECT o_orderpriority AS data_source, o_custkey AS uid, o_orderkey AS pos, CASE o_orderkey % 2 WHEN 0 THEN 'reward' ELSE 'acc' END AS variable, o_totalprice / 7 AS value, o_orderstatus AS pred FROM orders"
 _VAL_SQL = f"""WITH r AS ({_VAL}), p AS (SELECT data_source, uid, variable, avg(value) AS mean, stddev_pop(value) AS std, count(*) AS n FROM r GROUP BY 1, 2, 3),
     v AS (SELECT data_source, uid, variable, pred, count(*) AS c, min(pos) AS p0, arg_min(value, pos) AS first FROM r GROUP BY 1, 2, 3, 4),
     j AS (SELECT data_source, uid, variable, first AS maj FROM v QUALIFY row_number() OVER (PARTITION BY data_source, uid, variable ORDER BY c DESC, p0) = 1),
