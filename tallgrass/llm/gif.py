@@ -72,8 +72,9 @@ def _encode(samples: np.ndarray, min_code: int) -> list[bytes]:
     while room < 3 * min(n, CODES):
         room *= 2
     # strings by (code of all but the last sample, last sample), in open tables; the hash is spread over a row
-    keys, strings = np.full((count, room), -1, dtype=np.int32), np.empty((count, room), dtype=np.int16)
+    keys, strings = np.full(count * room, -1, dtype=np.int32), np.empty(count * room, dtype=np.int16)
     rows = np.arange(count)
+    row = rows * room
     columns = samples.T.astype(np.int32)
     prefix, size = columns[0].copy(), end + 1
     sizes, used = np.full(count, size), np.ones(count, dtype=np.int64)
@@ -82,15 +83,15 @@ def _encode(samples: np.ndarray, min_code: int) -> list[bytes]:
     for t in range(1, n):
         s = columns[t]
         key = prefix << 8 | s
-        slot = (key * np.int32(40503) >> 5) & (room - 1)
-        found = keys[rows, slot]
+        slot = row + ((key * np.int32(40503) >> 5) & (room - 1))
+        found = keys[slot]
         other = np.flatnonzero((found != key) & (found != -1))
         while len(other):
-            slot[other] = (slot[other] + 1) & (room - 1)
-            found[other] = keys[other, slot[other]]
+            slot[other] = row[other] + ((slot[other] + 1) & (room - 1))
+            found[other] = keys[slot[other]]
             other = other[(found[other] != key[other]) & (found[other] != -1)]
         new = np.flatnonzero(found != key)
-        following = strings[rows, slot].astype(np.int32)
+        following = strings[slot].astype(np.int32)
         following[new] = s[new]
         codes[new, used[new]] = prefix[new]
         used[new] += 1
@@ -98,11 +99,11 @@ def _encode(samples: np.ndarray, min_code: int) -> list[bytes]:
         if len(full):
             codes[full, used[full]] = clear
             used[full] += 1
-            keys[full] = -1
+            keys.reshape(count, room)[full] = -1
             sizes[full] = end + 1
             new = new[~np.isin(new, full)]
-        keys[new, slot[new]] = key[new]
-        strings[new, slot[new]] = sizes[new]
+        keys[slot[new]] = key[new]
+        strings[slot[new]] = sizes[new]
         sizes[new] += 1
         prefix = following
     codes[rows, used] = prefix
@@ -129,22 +130,26 @@ def lzw_decode(streams: list[bytes], min_code: int, size: int) -> np.ndarray:
 def _decode(streams: list[bytes], min_code: int, n: int) -> np.ndarray:
     count = len(streams)
     lengths = np.array([len(s) for s in streams])
-    data = np.zeros((count, int(lengths.max(initial=0)) + 3), dtype=np.int32)
+    wide = int(lengths.max(initial=0)) + 3
+    data = np.zeros((count, wide), dtype=np.uint8)
     for i, s in enumerate(streams):
         data[i, : len(s)] = np.frombuffer(s, dtype=np.uint8)
+    # three bytes at each place, as one number
+    data = data.reshape(-1).astype(np.int32)
+    data[:-2] |= data[1:-1] << 8 | data[2:] << 16
     out = np.zeros((count, n), dtype=np.uint8)
+    flat = out.reshape(-1)
     clear, end = 1 << min_code, (1 << min_code) + 1
     # a string is a range of the samples that are out already; there are no more than samples
     room = min(CODES, end + 2 + n)
-    begin, length = np.zeros((count, room), dtype=np.int32), np.zeros((count, room), dtype=np.int32)
+    begin, length = np.zeros(count * room, dtype=np.int32), np.zeros(count * room, dtype=np.int32)
     f = np.arange(count) if n else np.zeros(0, dtype=np.int64)
     bit, width, size = (np.full(count, v) for v in (0, min_code + 1, end + 1))
     at, before, last = (np.zeros(count, dtype=np.int64) for _ in range(3))  # samples so far; start and length of the string before
     while len(f):
         f = f[bit[f] + width[f] <= 8 * lengths[f]]
         b, w = bit[f], width[f]
-        k = b >> 3
-        code = ((data[f, k] | data[f, k + 1] << 8 | data[f, k + 2] << 16) >> (b & 7)) & ((1 << w) - 1)
+        code = (data[f * wide + (b >> 3)] >> (b & 7)) & ((1 << w) - 1)
         bit[f] = b + w
         special = (code == clear) | (code == end)
         if special.any():
@@ -160,25 +165,26 @@ def _decode(streams: list[bytes], min_code: int, n: int) -> np.ndarray:
             literal, known = code < clear, code < table
             if not (known | ((code == table) & (had > 0))).all():
                 raise ValueError("a code that is not in the table")
-            at_code = np.minimum(code, room - 1)
-            source = np.where(known, begin[f, at_code], before[f])
-            whole = np.where(literal, 1, np.where(known, length[f, at_code], had + 1))
+            entry = f * room + np.minimum(code, room - 1)
+            source = np.where(known, begin[entry], before[f])
+            whole = np.where(literal, 1, np.where(known, length[entry], had + 1))
             size_now = np.minimum(whole, n - pos)
             one = np.flatnonzero(literal)
-            out[f[one], pos[one]] = code[one]
+            place = f * n + pos
+            flat[place[one]] = code[one]
             many = np.flatnonzero(~literal)
             if len(many):
                 m = size_now[many]
                 ends = np.cumsum(m)
-                step = np.arange(int(ends[-1])) - np.repeat(ends - m, m)
-                row = np.repeat(f[many], m)
-                out[row, np.repeat(pos[many], m) + step] = out[row, np.repeat(source[many], m) + step]
+                to = np.arange(int(ends[-1])) + np.repeat(place[many] - (ends - m), m)
+                flat[to] = flat[to - np.repeat(pos[many] - source[many], m)]
                 # a string that is just being made ends with its own first sample
                 own = many[(~known & (whole == size_now))[many]]
-                out[f[own], pos[own] + whole[own] - 1] = out[f[own], pos[own]]
+                flat[place[own] + whole[own] - 1] = flat[place[own]]
             add = np.flatnonzero((had > 0) & (table < CODES))
             g = f[add]
-            begin[g, table[add]], length[g, table[add]] = before[g], had[add] + 1
+            entry = g * room + table[add]
+            begin[entry], length[entry] = before[g], had[add] + 1
             size[g] += 1
             wider = g[(size[g] == 1 << width[g]) & (width[g] < 12)]
             width[wider] += 1
@@ -304,15 +310,20 @@ def render(gif: Gif) -> list[tuple[int, np.ndarray]]:
     canvas = np.zeros((gif.height, gif.width, 4), dtype=np.uint8)
     shown = []
     for f in gif.frames:
-        before = canvas.copy()
+        before = canvas.copy() if f.disposal == 3 else None
         h, w = f.indices.shape
         h, w = min(h, gif.height - f.top), min(w, gif.width - f.left)
         idx = f.indices[:h, :w]
         palette = f.palette if f.palette is not None else gif.palette if gif.palette is not None else GRAY
         area = canvas[f.top : f.top + h, f.left : f.left + w]
-        solid = np.ones(idx.shape, dtype=bool) if f.transparent is None else idx != f.transparent
-        area[solid, :3] = palette[np.minimum(idx[solid], len(palette) - 1)]
-        area[solid, 3] = 255
+        colours = palette[idx if len(palette) == 256 else np.minimum(idx, len(palette) - 1)]
+        if f.transparent is None:
+            area[:, :, :3] = colours
+            area[:, :, 3] = 255
+        else:
+            solid = idx != f.transparent
+            np.copyto(area[:, :, :3], colours, where=solid[:, :, None])
+            area[:, :, 3][solid] = 255
         shown.append((f.delay, canvas.copy()))
         if f.disposal == 2:
             area[:] = 0
