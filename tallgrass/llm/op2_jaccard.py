@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import materialize, mix64, table, without_rows
-from tallgrass.llm.linking import link, partners, prefix_size, sketch, small_sketch
+from tallgrass.llm.common import materialize, may_have, mix64, table, without_rows
+from tallgrass.llm.linking import in_several, link, partners, prefix_size, sketch, small_sketch
 from tallgrass.llm.shingles import set_id, sets_of
 
 ORDERS, FREQUENT = 2, 4096
@@ -104,8 +104,11 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = signed.where("token IS NULL").select("doc_id", "sid", "n", "sketch", "small")
     last = frequent_tokens(signed, rows.count())
     reps = materialize(rows.where("doc_id IS NOT NULL AND n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("small").alias("small")), "op2-classes")
-    w = Window.partitionBy("token")
-    met = postings(docs, last).withColumn("lo", F.min("sid").over(w)).withColumn("hi", F.max("sid").over(w)).where("lo <> hi").select("token", "sid").distinct()
+    every = materialize(postings(docs, last), "op2-postings")
+    several = materialize(in_several(every, "token", "sid"), "op2-tokens")
+    # written before they are made distinct: a join without an aggregate behind it can split a hot token's rows
+    some = every.where(may_have(docs.sparkSession, several)(F.col("token")))
+    met = materialize(some.join(several.hint("merge"), "token").select("token", "sid"), "op2-met").distinct()
     buckets = met.join(reps.select("sid", "id"), "sid").select("token", "id").distinct()
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     sketches = reps.groupBy("id").agg(F.max(F.struct("n", "sketch", "small")).alias("x")).select("id", "x.n", "x.sketch", "x.small")

@@ -186,7 +186,9 @@ def removals(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "place")
     classes = materialize(every.groupBy("sid").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("short").alias("short")), "op5-classes")
     several = materialize(in_several(bands_of(every), "token", "id"), "op5-tokens")
-    buckets = materialize(bands_of(every, several).join(several.hint("merge"), "token").distinct(), "op5-buckets")
+    # written before they are made distinct: a join without an aggregate behind it can split a hot token's rows
+    shared = materialize(bands_of(every, several).join(several.hint("merge"), "token"), "op5-shared")
+    buckets = materialize(shared.distinct(), "op5-buckets")
     met = classes.where(may_have(docs.sparkSession, buckets.select("id"))(F.col("sid"))).join(buckets.select(F.col("id").alias("sid")).distinct().hint("merge"), "sid")
     texts = materialize(_texts(docs, met.select("first.doc_id", "first.place", F.col("sid").alias("id"))), "op5-texts")
     labels, _ = link(buckets, texts, materialize(_sketches(texts), "op5-sketches"))
