@@ -121,6 +121,20 @@ def _of_batch(column: pa.Array) -> tuple[np.ndarray, Paragraphs]:
     return raw, Paragraphs(raw, off)
 
 
+def _numbers(some: pa.StructArray, name: str) -> np.ndarray:
+    return some.field(name).cast(pa.int64()).to_numpy(zero_copy_only=False)
+
+
+def _listed(lists: pa.Array, p: Paragraphs) -> tuple[np.ndarray, pa.StructArray]:
+    """The numbers of listed paragraphs among those of a batch, and what is listed of each; places that a text doesn't have are left out. Null lists are empty."""
+    owner = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    begin = np.searchsorted(p.doc, np.arange(len(lists) + 1))
+    some = lists.flatten()
+    at = begin[owner] + _numbers(some, "place")
+    there = at < begin[owner + 1]
+    return at[there], some.filter(pa.array(there))
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, place, sid, short, bands) of every paragraph of docs (doc_id, text); sid names its shingles."""
 
@@ -158,13 +172,15 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, p = _of_batch(batch.column(0))
-            begin = np.searchsorted(p.doc, np.arange(batch.num_rows + 1))
-            listed = [(begin[i] + x["place"], x["sid"]) for i, some in enumerate(batch.column(1).to_pylist()) for x in some if begin[i] + x["place"] < begin[i + 1]]
-            which, want = (np.array(c, dtype=np.int64) for c in (zip(*listed, strict=True) if listed else ([], [])))
+            which, some = _listed(batch.column(1), p)
+            want = _numbers(some, "sid")
             # rows that share an id may differ
             same = p.sids(which) == want
-            texts = [raw[a:b].tobytes().decode() for a, b in zip(p.start[which[same]].tolist(), p.end[which[same]].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(want[same]), pa.array(texts, pa.string())], names=["id", "text"])
+            begin, size = p.start[which[same]], (p.end - p.start)[which[same]]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            data = raw[np.arange(int(ends[-1])) + np.repeat(begin - ends[:-1], size)]
+            texts = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(want[same], pa.int64()), texts], names=["id", "text"])
 
     return source.join(of_doc.hint("merge"), "id").select("text", "wanted").mapInArrow(by_slices(run), "id long, text string").dropDuplicates(["id"])
 
@@ -217,17 +233,15 @@ def clean_texts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, p = _of_batch(batch.column(at).cast(pa.string()))
-            begin = np.searchsorted(p.doc, np.arange(batch.num_rows + 1))
-            texts, removed = batch.column(at).to_pylist(), np.zeros(batch.num_rows, dtype=np.int64)
-            listed = [(i, begin[i] + x["place"], x["sid"], x["short"]) for i, some in enumerate(batch.column(last).to_pylist()) for x in some or [] if begin[i] + x["place"] < begin[i + 1]]
-            which, want = (np.array([x[k] for x in listed], dtype=np.int64) for k in (1, 2))
-            found: dict[int, list] = {}
-            for (i, k, _, short), same in zip(listed, (p.sids(which) == want).tolist(), strict=True):
-                if same:
-                    found.setdefault(i, []).append((int(k), short))
-            for i, some in found.items():
-                texts[i], removed[i] = _without(raw, p, int(begin[i]), int(begin[i + 1]), some, texts[i])
+            raw, off = utf8(batch.column(at).cast(pa.string()))
+            p = Paragraphs(raw, off)
+            which, some = _listed(batch.column(last), p)
+            same = p.sids(which) == _numbers(some, "sid")
+            gone = _going(p, which[same], which[same & (_numbers(some, "short") == 0)])
+            keep = _outside(len(raw), p.start[gone], p.stop[gone])
+            texts, removed = batch.column(at).to_pylist(), np.bincount(p.doc[gone], minlength=batch.num_rows)
+            for i in np.flatnonzero(removed).tolist():
+                texts[i] = raw[off[i] : off[i + 1]][keep[off[i] : off[i + 1]]].tobytes().decode()
             columns = [*batch.columns[:last], pa.array(removed)]
             columns[at] = pa.array(texts, batch.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:last], "n_removed"])
@@ -236,22 +250,22 @@ def clean_texts(docs: DataFrame) -> DataFrame:
     return docs.where(~flag).withColumn("n_removed", F.lit(0).cast("long")).unionByName(touched.mapInArrow(by_slices(run), schema))
 
 
-def _without(raw: np.ndarray, p: Paragraphs, begin: int, end: int, found: list[tuple[int, bool]], text: str) -> tuple[str, int]:
-    """A text less the paragraphs that go, and their number."""
-    gone, short = {k for k, s in found if not s}, {k for k, s in found if s}
-    # short ones beside one that goes follow it, one after another
-    for step in (1, -1):
-        for k in sorted(short)[::step]:
-            if k - step in gone:
-                gone.add(k)
-    if not gone:
-        return text, 0
-    keep = np.ones(int(p.stop[end - 1]) - int(p.start[begin]), dtype=bool)
-    base = int(p.start[begin])
-    for k in gone:
-        keep[p.start[k] - base : p.stop[k] - base] = False
-    head = text[: len(text) - len(text.lstrip("\t\n\x0b\x0c\r "))]
-    return head + raw[base : int(p.stop[end - 1])][keep].tobytes().decode(), len(gone)
+def _going(p: Paragraphs, found: np.ndarray, solid: np.ndarray) -> np.ndarray:
+    """Of the paragraphs that are found again those that go: solid ones, and all that stand with one in an unbroken row of found ones."""
+    is_found, row = np.zeros(len(p.doc), dtype=bool), np.zeros(len(p.doc), dtype=np.int64)
+    is_found[found] = True
+    row[1:] = np.cumsum(~(is_found[1:] & is_found[:-1] & (p.doc[1:] == p.doc[:-1])))
+    has = np.zeros(len(p.doc), dtype=bool)
+    has[row[solid]] = True
+    return np.flatnonzero(is_found & has[row])
+
+
+def _outside(n: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Which of n bytes lie in none of these ranges, which don't overlap."""
+    step = np.zeros(n + 1, dtype=np.int8)
+    step[starts] += 1
+    step[stops] -= 1
+    return np.cumsum(step[:-1], dtype=np.int8) == 0
 
 
 def paragraph_report(docs: DataFrame) -> DataFrame:
