@@ -107,6 +107,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def columns_of(df: DataFrame) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of numbers of df, batch by batch: the driver holds so many bytes as the numbers have, never an object for each row."""
+    for batch in df.toArrow().to_batches():
+        yield tuple(np.asarray(c) for c in batch.columns)
+    release()
+
+
 #: Least and most bits of the filter by which rows that a join can't concern are left where they are, and bits for each key. At most 32 MB are broadcast, whatever the corpus.
 FILTER_LEAST, FILTER_MOST, FILTER_EACH = 1 << 20, 1 << 28, 16
 
@@ -124,9 +131,9 @@ def key_bits(keys: DataFrame, hashed: bool = False) -> np.ndarray:
         bits *= 2
     at = key.bitwiseAND(F.lit(bits - 1)) if hashed else slot(key, bits)
     words = keys.where(key.isNotNull()).select(at.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(s, 64) AS int))) AS b"))
-    found = words.toPandas()
     out = np.zeros(bits // 64, dtype=np.uint64)
-    out[found["w"].to_numpy(dtype=np.int64)] = found["b"].to_numpy(dtype=np.int64).view(np.uint64)
+    for w, b in columns_of(words.select(F.col("w").cast("int"), "b")):
+        out[w] = b.view(np.uint64)
     return out
 
 

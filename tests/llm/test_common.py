@@ -1,5 +1,7 @@
+import tracemalloc
 from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -42,3 +44,22 @@ def test_shared_folder_is_needed_on_a_cluster():
     session = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(isLocal=lambda: False, getConf=lambda: unset))
     with pytest.raises(RuntimeError):
         shared_dir(session)
+
+
+def peak_of(run):
+    """What run() returns, and the most bytes that Python objects and arrays took meanwhile."""
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_filter_has_every_key_and_no_object_for_each_word(spark):
+    keys = spark.range(300_000).select(F.xxhash64("id").alias("k"))
+    words, peak = peak_of(lambda: common.key_bits(keys.unionByName(spark.createDataFrame([(None,), (-1,)], "k long")), True))
+    hashes = np.append(keys.toArrow().column("k").to_numpy(), -1)
+    want = np.unique(hashes.view(np.uint64) & np.uint64(64 * len(words) - 1))
+    assert common.has_bits(words, hashes).all() and sum(int(w).bit_count() for w in words) == len(want)
+    assert peak < 4 * words.nbytes + (1 << 22)
+    assert not common.key_bits(spark.createDataFrame([], "k long")).any()
