@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import materialize, may_have, mix64, table, without_rows
+from tallgrass.llm.common import columns_of, materialize, may_have, mix64, table, without_rows
 from tallgrass.llm.linking import in_several, link, partners, prefix_size, sketch, small_sketch
 from tallgrass.llm.shingles import set_id, sets_of
 
@@ -61,8 +61,8 @@ NAMES = ["doc_id", "sid", "n", "sketch", "small", "token", "times"]
 def frequent_tokens(signed: DataFrame, documents: int) -> np.ndarray:
     """Sorted tokens that go last in the first order."""
     least = max(64, documents // FREQUENT)
-    found = signed.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= least).select("token").toPandas()
-    return np.sort(found["token"].to_numpy(dtype=np.int64).view(np.uint64))
+    found = signed.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= least).select("token")
+    return np.sort(np.concatenate([np.zeros(0, dtype=np.int64), *(token for token, in columns_of(found))]).view(np.uint64))
 
 
 def first_order_prefix(values: np.ndarray, last: np.ndarray) -> np.ndarray:

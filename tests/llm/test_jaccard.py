@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tallgrass.llm import linking, op2_jaccard, shingles
 
@@ -124,3 +125,13 @@ def test_links_are_all_similar_texts(spark, monkeypatch, small_blocks):
     got = [(r.doc_id, r.n_links) for r in op2_jaccard.similarity_classes(docs).collect()]
     assert sorted(got, key=str) == sorted(((i, 0 if i is None else want.get(first.get(frozenset(sets(t))), 0)) for i, t in rows), key=str)
     assert {n for i, n in got if i is not None and 4000 <= i < 4040} == {39}
+
+
+def test_frequent_tokens_are_no_objects_on_the_driver(spark):
+    from tests.llm.test_common import peak_of
+
+    rows = spark.range(200_000).select(F.xxhash64("id").alias("token"), F.when(F.col("id") % 2 == 0, 40).otherwise(10).cast("long").alias("times"))
+    got, peak = peak_of(lambda: op2_jaccard.frequent_tokens(rows.unionByName(rows), 10))
+    want = np.sort(rows.where("times = 40").toArrow().column("token").to_numpy().view(np.uint64))
+    assert got.dtype == np.uint64 and np.array_equal(got, want) and peak < 4 * got.nbytes + (1 << 20)
+    assert len(op2_jaccard.frequent_tokens(rows.where("false"), 10)) == 0
