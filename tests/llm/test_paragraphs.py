@@ -147,3 +147,12 @@ def test_bands_of_equal_paragraphs_agree(n):
     text = " ".join(f"x{k}" for k in range(60 + n))
     a, b = (op.Paragraphs(*utf8(pa.array([t]))).bands() for t in (text, text.upper()))
     assert a.to_pylist() == b.to_pylist() and any(len(x) == 8 * op.BANDS for x in a.to_pylist()) and {len(x) for x in a.to_pylist()} <= {0, 8 * op.BANDS}
+
+
+def test_filter_of_bands_is_small_on_the_driver(spark):
+    from tests.llm.test_common import peak_of
+
+    every = spark.createDataFrame([(1, 0, 7, False, np.array([5, 6, 7, 8], dtype=np.int64).tobytes())], "doc_id long, place int, sid long, short boolean, bands binary")
+    some = spark.range(300_000).selectExpr("if(id = 0, 6L, xxhash64(id)) AS token")
+    got, peak = peak_of(lambda: op.bands_of(every, some))
+    assert (6, 7) in [tuple(r) for r in got.collect()] and peak < 1 << 23
