@@ -21,38 +21,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import columns_of, materialize, may_have, mix64, table, without_rows
+from tallgrass.llm.common import by_slices, columns_of, held, materialize, may_have, mix64, table, without_rows
 from tallgrass.llm.linking import in_several, link, partners, prefix_size, sketch, small_sketch
 from tallgrass.llm.shingles import set_id, sets_of
 
 ORDERS, FREQUENT = 2, 4096
+#: Tokens of different sets that are counted together, 32 MB of a task.
+COUNTED = 1 << 22
 _SIGNATURE = "doc_id long, sid long, n long, sketch binary, small binary, token long, times long"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """A row for each document (doc_id, sid, n, sketch, small), and rows (token, times) for tokens that stand in several different sets of an Arrow batch."""
+    """A row for each document (doc_id, sid, n, sketch, small), and rows (token, times) for tokens that stand in several different sets among those that are counted together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("op2", dict)  # what earlier operators keep goes
+        tokens, used, seen = np.empty(COUNTED, dtype=np.uint64), 0, set()
         for batch in batches:
-            sids, ns, sketches, tokens, seen = [], [], [], [], set()
+            sids, ns, sketches = [], [], []
             for values in sets_of(batch.column(1)):
                 sids.append(set_id(values))
                 ns.append(len(values))
                 sketches.append(sketch(values))
                 if sids[-1] not in seen:
+                    if used + len(values) > len(tokens):
+                        yield _repeated(tokens[:used])
+                        used = 0
+                        seen.clear()
                     seen.add(sids[-1])
-                    tokens.append(values)
+                    some = values[: len(tokens)]  # counts only choose an order
+                    tokens[used : used + len(some)] = some
+                    used += len(some)
             rows = len(sids)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sids, pa.int64()), pa.array(ns, pa.int64()), pa.array(sketches, pa.binary()), pa.array([small_sketch(x) for x in sketches], pa.binary()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], names=NAMES)
-            every = np.sort(np.concatenate(tokens)) if tokens else np.zeros(0, dtype=np.uint64)
-            starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, dtype=np.int64)
-            times = np.diff(np.append(starts, len(every)))
-            some = times > 1
-            rows = int(some.sum())
-            none = [pa.nulls(rows, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(every[starts[some]].view(np.int64)), pa.array(times[some])], names=NAMES)
+        yield _repeated(tokens[:used])
 
-    return docs.mapInArrow(run, _SIGNATURE)
+    return docs.mapInArrow(by_slices(run), _SIGNATURE)
+
+
+def _repeated(tokens: np.ndarray) -> pa.RecordBatch:
+    """Rows (token, times) of those that stand there several times. Sorts them where they are."""
+    tokens.sort()
+    found, times = np.unique(tokens[1:][tokens[1:] == tokens[:-1]], return_counts=True)
+    none = [pa.nulls(len(found), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+    return pa.RecordBatch.from_arrays([*none, pa.array(found.view(np.int64)), pa.array(times + 1)], names=NAMES)
 
 
 NAMES = ["doc_id", "sid", "n", "sketch", "small", "token", "times"]
@@ -94,7 +106,7 @@ def postings(docs: DataFrame, last: np.ndarray) -> DataFrame:
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(sids))], names=["token", "sid"])
 
-    return docs.mapInArrow(run, "token long, sid long")
+    return docs.mapInArrow(by_slices(run), "token long, sid long")
 
 
 def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

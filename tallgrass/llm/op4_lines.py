@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import fresh, materialize, table, without_lines
+from tallgrass.llm.common import by_slices, fresh, held, materialize, table, without_lines
 
 LONG_WORDS = 30
 BLANK = " \t\n\x0b\x0c\r"
@@ -54,6 +54,7 @@ def fingerprints(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     """(fp, doc_id, pos, spans: array of (start, stop, key)): each selected line with the spans that selected it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("op4", dict)  # what earlier operators keep goes
         for batch in batches:
             rows: dict[str, list] = {"fp": [], "doc_id": [], "pos": [], "spans": []}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -65,7 +66,7 @@ def fingerprints(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
                         rows[name].append(value)
             yield pa.RecordBatch.from_arrays([pa.array(rows["fp"], pa.int64()), pa.array(rows["doc_id"], pa.int64()), pa.array(rows["pos"], pa.int32()), pa.array(rows["spans"], _SPAN)], names=list(rows))
 
-    return docs.mapInArrow(run, "fp long, doc_id long, pos int, spans array<struct<start: int, stop: int, key: long>>")
+    return docs.mapInArrow(by_slices(run), "fp long, doc_id long, pos int, spans array<struct<start: int, stop: int, key: long>>")
 
 
 def removals(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:

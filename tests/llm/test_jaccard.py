@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -135,3 +136,39 @@ def test_frequent_tokens_are_no_objects_on_the_driver(spark):
     want = np.sort(rows.where("times = 40").toArrow().column("token").to_numpy().view(np.uint64))
     assert got.dtype == np.uint64 and np.array_equal(got, want) and peak < 4 * got.nbytes + (1 << 20)
     assert len(op2_jaccard.frequent_tokens(rows.where("false"), 10)) == 0
+
+
+def test_signatures_of_a_large_batch_take_little_memory(monkeypatch):
+    monkeypatch.setattr(op2_jaccard, "COUNTED", 1 << 16, raising=False)
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(5000)]
+    common_ = " ".join(words[:40])
+    texts = [" ".join(words[k] for k in rng.integers(0, 5000, 250)) + f" {common_}" for _ in range(4000)] + [None, "", "w1", "w1"]
+    texts.append(" ".join(words[k] for k in rng.integers(0, 5000, 70_000)))  # more tokens than are counted at once
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    made = []
+    docs = type("Docs", (), {"mapInArrow": lambda self, f, schema: made.append(f)})()
+    op2_jaccard.signatures(docs)
+    rows, counted, most = [], {}, 0
+
+    def take():
+        for out in made[0](iter([batch])):
+            ids, sids, ns, tokens, times = (out.column(k).to_pylist() for k in (0, 1, 2, 5, 6))
+            for i, sid, n, token, k in zip(ids, sids, ns, tokens, times, strict=True):
+                if token is None:
+                    rows.append((i, sid, n))
+                else:
+                    counted[token] = counted.get(token, 0) + k
+
+    next(shingles.sets_of(batch.column(1)[:1]))  # tables that are kept
+    tracemalloc.start()
+    try:
+        take()
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == [(i, op2_jaccard.set_id(v), len(v)) for i, v in enumerate(shingles.sets_of(batch.column(1)))]
+    shared = {int(v) for v in next(shingles.sets_of(pa.array([common_]))).view(np.int64)}
+    assert all(counted[t] == 4000 for t in shared)
+    # the sets of the whole batch alone are 9 MB
+    assert most < 16 << 20, most
