@@ -1,7 +1,7 @@
 """BPE encoding and decoding of whole documents by a public vocabulary.
 
-The vocabulary file (under 2 MB, read on the driver) is broadcast; rows are independent, so there is no shuffle. Each Python worker keeps the results of words up to
-16 MB, and starts afresh beyond that: memory is bounded, results don't depend on it. Batches are taken in slices of 1 MB.
+The vocabulary file (under 2 MB, read on the driver) is broadcast; rows are independent, so there is no shuffle. Batches are taken in slices of 1 MB, and
+the words of a slice are merged together. Each Python worker keeps the results of words up to 16 MB, and beyond that those of the last slice: memory is bounded, results don't depend on it.
 
 Null or empty text: no tokens, digests of nothing. Null doc_id stays null, repeated rows repeat, an empty table gives an empty one. Equal ranks in a word: the leftmost pair
 merges first. Very long texts are one slice each; their time grows with n log n of their longest word. A text that holds a special token's string gets that token, as the
@@ -50,7 +50,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value)
         for batch in batches:
-            pairs = [model.encode_both(t or "") for t in batch.column(at).to_pylist()]
+            pairs = list(model.encode_all(t or "" for t in batch.column(at).to_pylist()))
             ids = pa.ListArray.from_arrays(pa.array([0, *_sums(len(p[0]) // 4 for p in pairs)], type=pa.int32()), pa.Array.from_buffers(pa.int32(), sum(len(p[0]) // 4 for p in pairs), [None, pa.py_buffer(b"".join(p[0] for p in pairs))]))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array([p[1] for p in pairs], type=pa.string())], names=[*batch.schema.names, *types.names])
 
@@ -85,8 +85,7 @@ def token_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         model = _model(shared.value)
         for batch in batches:
             n, ids, decoded = [], [], []
-            for text in batch.column(1):
-                a, b = model.encode_both(text.as_py() or "")
+            for a, b in model.encode_all(t or "" for t in batch.column(1).to_pylist()):
                 n.append(len(a) // 4)
                 ids.append(hashlib.sha256(a).hexdigest())
                 decoded.append(hashlib.sha256(b.encode()).hexdigest())

@@ -2,11 +2,12 @@ import hashlib
 import random
 import struct
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
 from tallgrass.llm import op7_bpe
-from tallgrass.llm.bpe import NONE, Bpe, SegmentTree
+from tallgrass.llm.bpe import NONE, WIDEST, Bpe, Forest, SegmentTree
 
 
 @pytest.fixture(scope="module")
@@ -52,6 +53,35 @@ def test_segment_tree():
         assert tree.root() == min(values)
 
 
+def test_words_of_a_slice_are_merged_together(both, monkeypatch):
+    library, own = both
+    rng = random.Random(11)
+    texts = [" ".join("".join(rng.choice("etaoinshréß日!7") for _ in range(rng.randint(1, 40))) for _ in range(200)) for _ in range(20)] + HARD
+    texts += ["<|endoftext|>".join(texts[:2]), texts[3]]
+    trees = []
+    monkeypatch.setattr(SegmentTree, "__init__", lambda self, values, make=SegmentTree.__init__: trees.append(len(values)) or make(self, values))
+    own.words.clear()
+    got = list(own.encode_all(texts))
+    # a tree of its own for long words only, whatever the cache holds
+    assert trees and min(trees) + 1 > WIDEST // 4 and len(trees) < 900
+    for text, (raw, decoded) in zip(texts, got, strict=True):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert raw == struct.pack(f"<{len(ids)}I", *ids) and decoded == library.decode(ids, skip_special_tokens=False), text
+    assert own.used <= own.cache
+
+
+def test_forest_is_a_tree_for_each_row():
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 99, (7, 8))
+    forest = Forest(values)
+    for _ in range(100):
+        rows = np.flatnonzero(rng.random(7) < 0.5)
+        at = rng.integers(0, 8, len(rows))
+        values[rows, at] = new = rng.choice([5, 50, NONE], len(rows))
+        forest.put(rows, at, new)
+        assert (forest.roots(np.arange(7)) == values.min(axis=1)).all()
+
+
 def test_query(spark, tmp_path, both):
     rows = [(1, "Hello world", 5), (2, None, 1), (None, "x", 2), (3, "", 0), (3, "", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, token_ids long")
