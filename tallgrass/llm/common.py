@@ -36,6 +36,7 @@ def fresh(name: str, *taken: Iterable[str]) -> str:
 #: Bytes of a batch that an operator handles at once; what it builds from them is a small multiple.
 SLICE = 1 << 20
 _STATE: dict[object, object] = {}
+_OWNER: list[str] = []
 
 
 def held(key: object, build: Callable[[], object]) -> object:
@@ -47,6 +48,15 @@ def held(key: object, build: Callable[[], object]) -> object:
     return _STATE[key]
 
 
+def enter(owner: str) -> None:
+    """From here on a worker runs `owner`: what it kept for another function goes before anything is built beside it."""
+    if _OWNER != [owner]:
+        _OWNER[:] = [owner]
+        if _STATE:
+            _STATE.clear()
+            release()
+
+
 def release() -> None:
     """Give memory that is free back to the system."""
     gc.collect()
@@ -68,9 +78,11 @@ def slices(batch: pa.RecordBatch, size: int = SLICE) -> Iterator[pa.RecordBatch]
 
 
 def by_slices(run: Callable, size: int = SLICE) -> Callable:
-    """A function over Arrow batches that gets them in slices, one after another, and leaves no memory behind."""
+    """A function over Arrow batches that gets them in slices, one after another, and leaves no memory behind but what is held() for its next task."""
+    owner = uuid.uuid4().hex
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(owner)
         try:
             yield from run(part for batch in batches for part in slices(batch, size))
         finally:
@@ -79,6 +91,15 @@ def by_slices(run: Callable, size: int = SLICE) -> Callable:
     return outer
 
 
+#: Bytes after which Spark ends an Arrow batch.
+BATCH = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session's Arrow batches end after BATCH bytes. By default one holds 10,000 rows, in the executor and again in its worker, while slices of it are handled; rows and results are the same."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def crc_bucket(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n: the split by which labels are held out."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % n

@@ -3,7 +3,7 @@
 The character language model counts the letter runs of every document. A restored text is scored by its distinct words: each word, and each beginning of one with
 STEMS letters, has a weight, its smoothed log-odds among labelled documents; the score adds up a document's strongest few and is calibrated by isotonic regression.
 
-Scale: three passes over texts (letter runs, which are at most 28^5 numbers for each task; words of labelled rows; scores). Weights are learned from at most
+Scale: three passes over texts (letter runs, of which a task holds those that occur, at most 28^5; words of labelled rows; scores). Weights are learned from at most
 TRAIN_ROWS labelled rows, chosen by hash of their id, so they can be broadcast; the rest covers all rows. No word, token or text is cut or skipped: tokens that the
 channel can't change (letters only, none doubled) restore to themselves, all others are decoded.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallgrass.llm import calibration
-from tallgrass.llm.common import by_slices, crc_bucket, fresh, held, materialize, split_by, table
+from tallgrass.llm.common import by_slices, crc_bucket, fresh, held, materialize, small_batches, split_by, table
 from tallgrass.llm.deobfuscate import CONTEXTS, SIZE, CharModel, Decoder, disguises, gram_codes, tokens
 
 TRAIN_ROWS, LEAST, STRONGEST, STEMS = 40_000, 3, 4, (4, 5, 6)
@@ -36,20 +36,27 @@ THRESHOLD = 0.7
 MEMO = 12 << 20
 
 
+def _added(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different codes, ascending, with the sums of their counts."""
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[: len(codes)])
+    return codes[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def letter_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(code, n) of the letter runs of texts. Codes that occur are held, not a number for each that could: texts use a few thousandths of them."""
+    codes, counts = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+    for batch in batches:
+        new, n = np.unique(gram_codes("  ".join(t or "" for t in batch.column(0).to_pylist()).lower()), return_counts=True)
+        codes, counts = _added(np.concatenate([codes, new]), np.concatenate([counts, n]))
+    for s in range(0, len(codes), 1 << 17):
+        yield pa.RecordBatch.from_arrays([pa.array(codes[s : s + (1 << 17)].astype(np.int64)), pa.array(counts[s : s + (1 << 17)])], names=["code", "n"])
+
+
 def char_model(docs: DataFrame) -> CharModel:
     """Letter runs of all documents, added up by code."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CONTEXTS * SIZE, dtype=np.int32)
-        for batch in batches:
-            np.add.at(total, gram_codes("  ".join(t or "" for t in batch.column(0).to_pylist()).lower()), 1)
-        at = np.flatnonzero(total)
-        counts = total[at].astype(np.int64)
-        del total
-        for s in range(0, len(at), 1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(at[s : s + (1 << 17)]), pa.array(counts[s : s + (1 << 17)])], names=["code", "n"])
-
-    each = docs.select(F.col("text").cast("string")).mapInArrow(by_slices(run), "code long, n long")
+    each = docs.select(F.col("text").cast("string")).mapInArrow(by_slices(letter_runs), "code long, n long")
     # at most 28^5 codes, of which a language uses few
     found = each.groupBy("code").agg(F.sum("n").alias("n")).toPandas().sort_values("code")
     return CharModel(found["code"].to_numpy(dtype=np.int64), found["n"].to_numpy(dtype=np.int64))
@@ -146,6 +153,7 @@ def log_odds(train: DataFrame, chars: CharModel) -> dict[str, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     chars = char_model(docs)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("double").alias("y")).where(crc_bucket("doc_id", 3) != 1)

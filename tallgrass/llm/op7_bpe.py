@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallgrass.llm.bpe import Bpe
-from tallgrass.llm.common import by_slices, held, table
+from tallgrass.llm.common import by_slices, held, small_batches, table
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -36,6 +36,7 @@ def _model(model_json: str) -> Bpe:
 
 
 def _share(spark: SparkSession, vocabulary: str | None):
+    small_batches(spark)
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
         return spark.sparkContext.broadcast(f.read())
 

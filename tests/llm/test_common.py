@@ -26,6 +26,39 @@ def test_one_state_at_a_time():
     assert made == [1, 3, 4] and len(common._STATE) == 1
 
 
+def test_state_of_another_function_goes_before_the_next_one_runs():
+    seen = []
+
+    def one(batches):
+        common.held("one", lambda: seen.append("built"))
+        yield from batches
+
+    def two(batches):
+        seen.append(len(common._STATE))
+        yield from batches
+
+    first, second = common.by_slices(one), common.by_slices(two)
+    for run in (first, first, second):
+        list(run(iter([])))
+    assert seen == ["built", 0]
+
+
+def test_batches_are_small(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    try:
+        common.small_batches(spark)
+        found = [r.n for r in spark.range(9000).selectExpr("repeat('x', 2000) AS t").coalesce(1).mapInArrow(sizes, "n long").collect()]
+    finally:
+        spark.conf.set(key, before)
+    assert sum(found) > 9000 * 2000 and max(found) < common.BATCH + 100_000
+
+
 def test_lines_and_rows_go_whatever_columns_are_called(spark):
     docs = spark.createDataFrame([(1, "a\nb\n\nc", 1, 2, 3, 4), (2, None, 5, 6, 7, 8), (3, "x", 0, 0, 0, 0), (None, "a\nb", 0, 0, 0, 0)], "doc_id long, text string, _doc int, _places int, _gone int, _key_doc_id int")
     gone = spark.createDataFrame([(1, 1), (1, 3), (1, 1), (3, 0)], "doc_id long, place int")

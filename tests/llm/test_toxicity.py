@@ -68,6 +68,19 @@ def test_model_counts_runs_and_backs_off():
     assert t.shape == (SIZE ** (ORDER - 1), SIZE) and t[place(1), 2] < t[place(1), 3] and t[place(5, 1), 2] < t[place(5, 1), 3]
 
 
+def test_letter_runs_hold_those_that_occur():
+    from tests.llm.test_common import peak_of
+
+    texts = ["the cat sat, " * 50, None, "", "Straße 東京 the hat"]
+    batches = [pa.RecordBatch.from_pydict({"text": texts[k:]}) for k in (0, 2, 3)] + [pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())})]
+    found, peak = peak_of(lambda: list(op.letter_runs(iter(batches))))
+    want = np.concatenate([gram_codes("  ".join(t or "" for t in texts[k:]).lower()) for k in (0, 2, 3)])
+    codes, counts = np.unique(want, return_counts=True)
+    assert [c for b in found for c in b.column(0).to_pylist()] == codes.tolist() and [n for b in found for n in b.column(1).to_pylist()] == counts.tolist()
+    assert peak < 1 << 24
+    assert not list(op.letter_runs(iter([])))
+
+
 def test_plain_texts_are_known_for_certain():
     rng = random.Random(4)
     signs = list("ab") + ["é", "ß", " ", " ", ".", "-", "_", "1", "@", "$", "!", "|", "€", "¡", "—", " ", "́", "日", "×", "\n"]
