@@ -135,8 +135,8 @@ def columns_of(df: DataFrame) -> Iterator[tuple[np.ndarray, ...]]:
     release()
 
 
-#: Least and most bits of the filter by which rows that a join can't concern are left where they are, and bits for each key. At most 32 MB are broadcast, whatever the corpus.
-FILTER_LEAST, FILTER_MOST, FILTER_EACH = 1 << 20, 1 << 28, 16
+#: Least and most bits of the filter by which rows that a join can't concern are left where they are, bits for each key, and bits that come to the driver at once. At most 32 MB are broadcast, whatever the corpus.
+FILTER_LEAST, FILTER_MOST, FILTER_EACH, FILTER_PART = 1 << 20, 1 << 28, 16, 1 << 25
 
 
 def slot(key: Column, bits: int) -> Column:
@@ -152,9 +152,16 @@ def key_bits(keys: DataFrame, hashed: bool = False) -> np.ndarray:
         bits *= 2
     at = key.bitwiseAND(F.lit(bits - 1)) if hashed else slot(key, bits)
     words = keys.where(key.isNotNull()).select(at.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(s, 64) AS int))) AS b"))
-    out = np.zeros(bits // 64, dtype=np.uint64)
-    for w, b in columns_of(words.select(F.col("w").cast("int"), "b")):
-        out[w] = b.view(np.uint64)
+    words = words.select(F.col("w").cast("int").alias("w"), "b")
+    out, width = np.zeros(bits // 64, dtype=np.uint64), FILTER_PART // 64
+    # of a large filter the words are written once and read part by part, so that the driver never holds them all beside the filter
+    whole = len(out) <= width
+    words = words if whole else materialize(words, "key-bits")
+    for s in range(0, len(out), width):
+        for w, b in columns_of(words if whole else words.where(F.col("w").between(s, s + width - 1))):
+            out[w] = b.view(np.uint64)
+    if not whole:
+        discard(words)
     return out
 
 
@@ -167,12 +174,12 @@ def has_bits(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def may_have(spark: SparkSession, keys: DataFrame) -> Callable[[Column], Column]:
     """A condition on a column of longs: true for all keys, and for few others. Only the column passes through Python."""
     words = key_bits(keys)
-    shared, bits = spark.sparkContext.broadcast(words.tobytes()), 64 * len(words)
+    shared, bits = spark.sparkContext.broadcast(words), 64 * len(words)
 
     @F.pandas_udf("boolean")
     def has(slots: pd.Series) -> pd.Series:
         s = slots.to_numpy(dtype=np.int64).astype(np.uint64)
-        have = np.frombuffer(shared.value, dtype=np.uint64)
+        have = shared.value
         return pd.Series((have[s >> np.uint64(6)] >> (s & np.uint64(63))) & np.uint64(1) > 0)
 
     return lambda key: has(slot(F.coalesce(key.cast("long"), F.lit(0)), bits))

@@ -148,7 +148,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 def bands_of(every: DataFrame, some: DataFrame | None = None) -> DataFrame:
     """(token, id): a row for each band of each paragraph, id being its sid; with `some` (token), all rows of these tokens and few others."""
-    shared = None if some is None else every.sparkSession.sparkContext.broadcast(key_bits(some, True).tobytes())
+    shared = None if some is None else every.sparkSession.sparkContext.broadcast(key_bits(some, True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +157,7 @@ def bands_of(every: DataFrame, some: DataFrame | None = None) -> DataFrame:
             keys = np.frombuffer(raw[2] or b"", dtype=np.int64)[off[0] // 8 : off[-1] // 8]
             sids = np.repeat(np.asarray(batch.column(0)), np.diff(off) // 8)
             if shared is not None:
-                keep = has_bits(np.frombuffer(shared.value, dtype=np.uint64), keys)
+                keep = has_bits(shared.value, keys)
                 keys, sids = keys[keep], sids[keep]
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sids)], names=["token", "id"])
 

@@ -96,3 +96,20 @@ def test_filter_has_every_key_and_no_object_for_each_word(spark):
     assert common.has_bits(words, hashes).all() and sum(int(w).bit_count() for w in words) == len(want)
     assert peak < 4 * words.nbytes + (1 << 22)
     assert not common.key_bits(spark.createDataFrame([], "k long")).any()
+
+
+def test_large_filter_comes_to_the_driver_in_parts(spark, monkeypatch):
+    keys = spark.range(300_000).select(F.xxhash64("id").alias("k"))
+    whole = common.key_bits(keys, True)
+    monkeypatch.setattr(common, "FILTER_PART", 1 << 20)
+    seen, columns_of = [], common.columns_of
+    monkeypatch.setattr(common, "columns_of", lambda df: (seen.append(len(c[0])) or c for c in columns_of(df)))
+    words, peak = peak_of(lambda: common.key_bits(keys, True))
+    assert (words == whole).all() and sum(seen) == np.count_nonzero(whole) and max(seen) <= 1 << 14
+    assert peak < 2.5 * words.nbytes
+    # nor is there a copy for the broadcast
+    kept = common.may_have(spark, keys)(F.col("id"))
+    assert spark.range(5).select(F.xxhash64("id").alias("id")).where(kept).count() == 5
+    large = np.zeros(1 << 22, dtype=np.uint64)
+    monkeypatch.setattr(common, "key_bits", lambda keys, hashed=False: large)
+    assert peak_of(lambda: common.may_have(spark, keys))[1] < 1 << 22
