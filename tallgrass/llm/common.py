@@ -100,6 +100,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
 
 
+def settle(spark: SparkSession) -> None:
+    """Executors collect their garbage and give free heap back to the system, each in a task for every core; no row or table is touched.
+
+    A JVM keeps the heap that its busiest operator needed (and buffers outside it until their owners are collected). Between the operators of one job it stood
+    beside the Python workers of the next one. On a cluster that is busy with other jobs some executors may get no task; then they stay as they are.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def crc_bucket(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n: the split by which labels are held out."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % n

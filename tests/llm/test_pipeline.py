@@ -1,3 +1,7 @@
+import gc
+
+import pytest
+
 import corpus_pipeline
 from tests.llm import test_decontam, test_jaccard, test_lines
 
@@ -38,6 +42,31 @@ def test_stages_against_brute_force(spark):
             assert {r.doc_id for r in kept[name]} == {r.doc_id for r in kept["decontaminate"]} and all(r.token_ids for r in kept[name] if r.text.strip())
 
 
+def test_heap_of_the_stage_before_is_given_back(spark):
+    docs, jvm = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.sparkContext._jvm
+    for name, stage in corpus_pipeline.STAGES[1::3]:  # line_dedup and bpe
+        runtime = jvm.java.lang.Runtime.getRuntime()
+        large = jvm.java.nio.ByteBuffer.allocate(1 << 30)
+        assert runtime.totalMemory() > 1 << 30
+        del large
+        gc.collect()
+        stage(spark, docs, SMALL)
+        assert runtime.totalMemory() < 1 << 30, name
+
+
+def test_every_stage_settles_before_anything_else(spark, monkeypatch):
+    class Settled(Exception):
+        pass
+
+    def settle(_):
+        raise Settled
+
+    monkeypatch.setattr(corpus_pipeline, "settle", settle)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Settled):
+            stage(spark, None, SMALL)
+
+
 def test_registered():
     import __spark_entry__
 
